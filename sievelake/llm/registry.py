@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, lines, packing, simhash, toxicity
+from . import contamination, lines, packing, pii, records, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.tokenize(spark, _table(spark, sf_dir, "documents"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(spark, _table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -33,7 +41,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op4_packing, op6_toxicity, op7_line_dedup, op9_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_binary_records, op3_pii, op4_packing, op6_toxicity, op7_line_dedup, op9_simhash)}
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 SQL: dict[str, str] = {
