@@ -83,9 +83,7 @@ def codepoints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw = b"" if data is None else memoryview(data)[offs[0] : offs[-1]]
     try:
         joined = str(raw, "utf-8")
-        bytes_ = np.frombuffer(raw, dtype=np.uint8) if len(raw) else np.zeros(0, np.uint8)
-        first = np.concatenate([[0], np.cumsum((bytes_ & 0xC0) != 0x80)])
-        out = first[offs - offs[0]].astype(np.int64)
+        out = np.concatenate([[0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))]).astype(np.int64)
     except UnicodeDecodeError:
         parts = [str(memoryview(data)[a:b], "utf-8", "replace") for a, b in zip(offs[:-1], offs[1:])]
         joined = "".join(parts)
@@ -116,7 +114,10 @@ def prefix_hash(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Running polynomial hash and the inverse powers; (p[e] - p[s]) * inv[s] is the hash of cp[s:e]."""
     up, down = powers(len(cp) + 1)
     p = np.zeros(len(cp) + 1, dtype=np.uint64)
-    np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * up[: len(cp)], out=p[1:])
+    t = p[1:]
+    np.add(cp, np.uint64(1), out=t)
+    t *= up[: len(cp)]
+    np.cumsum(t, out=t)
     return p, down
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._store import certainly_without, cut, narrow, possibly_with, shield
-from ._text import codepoints, mix, prefix_hash, signed, slices, span_hash, spans, tables
+from ._text import codepoints, mix, prefix_hash, signed, slices, span_hash, tables
 from .simhash import _whole_runs, run_edges
 
 #: Characters of a shingle, hashes by band, bands, least Jaccard similarity and least characters of a line that counts.
@@ -30,26 +31,28 @@ class Lines:
     def __init__(self, texts: pa.Array, min_chars: int):
         lower, _, space = tables()
         cp, offs = codepoints(texts)
-        newline = cp == 10
-        blank = space[cp] & ~newline
-        n = len(cp)
-        drop = np.zeros(n, bool)
-        drop[1:] = blank[1:] & blank[:-1]
-        border = offs[1:-1][offs[1:-1] < n]
-        drop[border] = False
-        keep = ~drop
-        at = np.concatenate([[0], np.cumsum(keep)])
-        self.offs = at[offs]
-        self.cp = np.where(blank, np.uint32(32), lower[cp])[keep]
-        solid = self.cp != 10
-        s, e = spans(solid, self.offs)
-        self.raw_start = s
-        s = s + (self.cp[s] == 32) if len(s) else s
-        e = e - (self.cp[e - 1] == 32) if len(e) else e
-        row = np.searchsorted(self.offs, self.raw_start, side="right") - 1
-        breaks = np.concatenate([[0], np.cumsum(self.cp == 10)])
-        number = breaks[self.raw_start] - breaks[self.offs[row]] if len(s) else np.zeros(0, np.int64)
-        ok = e - s >= min_chars
+        blank = space[cp]
+        newline = np.flatnonzero(cp == 10)
+        blank[newline] = False
+        cp = lower[cp]
+        cp[blank] = 32
+        double = blank[1:] & blank[:-1]
+        double[offs[(offs > 0) & (offs < len(cp))] - 1] = False
+        if double.any():
+            gone = np.flatnonzero(double) + 1
+            cp = np.delete(cp, gone)
+            offs, newline = offs - np.searchsorted(gone, offs), newline - np.searchsorted(gone, newline)
+        self.cp, self.offs = cp, offs
+        s = np.sort(np.concatenate([offs[:-1], newline + 1]))
+        e = np.sort(np.concatenate([newline, offs[1:]]))
+        count = 1 + np.searchsorted(newline, offs[1:]) - np.searchsorted(newline, offs[:-1])
+        row = np.repeat(np.arange(len(count)), count)
+        number = np.arange(len(s)) - np.repeat(np.cumsum(count) - count, count)
+        some = np.flatnonzero(e > s)
+        s, e, row, number = s[some], e[some], row[some], number[some]
+        s = s + (cp[s] == 32)
+        e = e - ((e > s) & (cp[e - 1] == 32))
+        ok = e - s >= max(min_chars, 1)
         self.start, self.end, self.row, self.number = s[ok], e[ok], row[ok], number[ok]
         self.p, self.inv = prefix_hash(self.cp)
         self.hash = span_hash(self.p, self.inv, self.start, self.end)
@@ -67,12 +70,22 @@ class Lines:
         return mix((self.p[to] - self.p[at]) * self.inv[at]), first
 
 
-def signatures(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """MinHash values (lines, BANDS * BAND_ROWS) of concatenated shingle lists; no list is empty."""
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(first) - 1, len(_MULT)), np.uint32)
+def signatures(x: Lines, which: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """MinHash values (lines, BANDS * BAND_ROWS) of the chosen lines' k-character shingles; none is shorter than k."""
+    h = x.p[k:] - x.p[:-k]
+    h *= x.inv[: len(h)]
+    low = (h >> np.uint64(32)).astype(np.uint32)
+    low ^= low >> np.uint32(16)
+    # from each line's first shingle up to behind its last; what lies between two lines is computed and left out
+    ends = x.end[which] - k + 1
+    at = np.stack([x.start[which], ends], axis=1).ravel()
+    if at[-1] >= len(low):
+        at = at[:-1]
+    out = np.empty((len(which), len(_MULT)), np.uint32)
+    v = np.empty_like(low)
     for j, a in enumerate(_MULT):
-        out[:, j] = np.minimum.reduceat(x * a, first[:-1])
+        np.multiply(low, a, out=v)
+        out[:, j] = np.minimum.reduceat(v, at)[::2]
     return out
 
 
@@ -114,7 +127,9 @@ def candidate_edges(docs: DataFrame, min_chars: int) -> DataFrame:
                 if not len(h):
                     continue
                 seen = np.concatenate([seen, h])
-                key, sketch = bands(signatures(*x.shingles(at, SHINGLE)))
+                at = np.sort(at)
+                h = x.hash[at]
+                key, sketch = bands(signatures(x, at))
                 yield pa.RecordBatch.from_arrays([pa.array(signed(key.ravel())), pa.array(np.repeat(signed(h), BANDS)), pa.array(np.repeat(signed(sketch), BANDS))], names=["key", "h", "sketch"])
 
     rows = narrow(docs, "text").where("text is not null").mapInArrow(emit, "key long, h long, sketch long")
@@ -155,9 +170,16 @@ def exact_groups(root: np.ndarray, h: np.ndarray, texts: pa.Array, threshold: fl
     first = np.concatenate([[0], np.cumsum(size)])
     comp = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])]) if n else np.zeros(0, np.int64)
     tagged = mix(sh ^ mix(comp[line].astype(np.uint64)))
+    # lines whose shingles are common in their component come first: they are like many, so that few rounds are needed
+    central = np.zeros(n)
+    big = np.bincount(comp, minlength=1)[comp] > 3 if n else np.zeros(0, bool)
+    if big.any():
+        of = big[line]
+        t, c = np.unique(tagged[of], return_counts=True)
+        central = np.bincount(line[of], weights=c[np.searchsorted(t, tagged[of])], minlength=n) / np.maximum(size, 1)
     group = np.full(n, -1, np.int64)
-    queue: dict[int, list[int]] = {}
-    open_ = np.arange(n)
+    queue: dict[int, list[tuple[float, int]]] = {}
+    open_ = np.lexsort((-central, comp))  # by component, the most central line first
     while len(open_):
         lead = np.concatenate([[True], comp[open_][1:] != comp[open_][:-1]])
         ask = []
@@ -165,24 +187,30 @@ def exact_groups(root: np.ndarray, h: np.ndarray, texts: pa.Array, threshold: fl
             q = queue.setdefault(c, [])
             if not q:
                 group[i] = i
-                q.append(i)
-            ask.append(q.pop())
+                ask.append(i)
+            else:
+                ask.append(heapq.heappop(q)[1])
         ask = np.array(ask)
         open_ = open_[group[open_] < 0]
         if not len(open_):
             break
-        q = np.sort(np.concatenate([tagged[first[i] : first[i + 1]] for i in ask]))
-        take = np.repeat(first[open_], size[open_]) + _ranges(size[open_])
-        t = tagged[take]
-        hit = q[np.searchsorted(q, t).clip(max=len(q) - 1)] == t
-        inter = np.bincount(np.repeat(np.arange(len(open_)), size[open_]), weights=hit, minlength=len(open_))
-        asker = np.full(int(comp.max()) + 1, -1)
+        asker = np.full(int(comp[-1]) + 1, -1)
         asker[comp[ask]] = ask
         a = asker[comp[open_]]
-        ok = (a >= 0) & (inter / np.maximum(size[open_] + size[a] - inter, 1) >= threshold)
-        for i, j in zip(open_[ok].tolist(), a[ok].tolist()):
+        # sets whose sizes differ too much can't be similar
+        may = (a >= 0) & (np.minimum(size[open_], size[a]) >= threshold * np.maximum(size[open_], size[a]))
+        try_, a = open_[may], a[may]
+        if not len(try_):
+            continue
+        need = np.unique(a)
+        q = np.sort(np.concatenate([tagged[first[i] : first[i + 1]] for i in need]))
+        t = tagged[np.repeat(first[try_], size[try_]) + _ranges(size[try_])]
+        hit = q[np.searchsorted(q, t).clip(max=len(q) - 1)] == t
+        inter = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size[try_])[:-1]]), dtype=np.int64)
+        ok = inter >= threshold * (size[try_] + size[a] - inter)
+        for i, j in zip(try_[ok].tolist(), a[ok].tolist()):
             group[i] = group[j]
-            queue[int(comp[i])].append(i)
+            heapq.heappush(queue[int(comp[i])], (-central[i], i))
         open_ = open_[group[open_] < 0]
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, group, h)
@@ -225,7 +253,7 @@ def similar_lines(docs: DataFrame, where: DataFrame, threshold: float, min_chars
                             out_t.append(x.text(j))
                 yield pa.RecordBatch.from_arrays([pa.array(out_r, pa.int64()), pa.array(out_h, pa.int64()), pa.array(out_t, pa.string())], names=["root", "h", "text"])
 
-    lines = d.mapInArrow(fetch, "root long, h long, text string").repartition("root").sortWithinPartitions("root", "h")
+    lines = d.mapInArrow(fetch, "root long, h long, text string").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "root").sortWithinPartitions("root", "h")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_runs(batches, ("root",)):
@@ -249,6 +277,8 @@ def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: in
     Two are similar if their sets of 9-character shingles have a Jaccard similarity of at least threshold; of each
     connected component the line with the least (doc_id, line_no) is kept, in this or in any other document.
     """
+    if min_chars < SHINGLE:
+        raise ValueError(f"min_chars must be at least {SHINGLE}")
     where = cut(positions(docs, min_chars))
     near = similar_lines(docs, where, threshold, min_chars)
     p = where.join(near, "h", "left").select("doc_id", "line_no", "h", F.coalesce("g", "h").alias("g"))

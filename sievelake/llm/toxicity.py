@@ -248,22 +248,22 @@ def _lower_bound(pos: np.ndarray, n: np.ndarray, z: float = 1.64) -> np.ndarray:
     return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def _distinct_enough(d: DataFrame) -> list[str]:
-    """Keys of toxic training texts of which none is a near copy of another; d is bounded by max_labelled."""
+def _distinct_enough(d: DataFrame) -> list[int]:
+    """Ids of toxic training texts of which none is a near copy of another; d is bounded by max_labelled."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in slices(b.column(1)):
                 prints, _ = fingerprints(b.column(1).slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(np.ascontiguousarray(prints[:, i]).view(np.int64)) for i in range(4))], names=["key", "a", "b", "c", "d"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(np.ascontiguousarray(prints[:, i]).view(np.int64)) for i in range(4))], names=["doc_id", "a", "b", "c", "d"])
 
-    t = d.where("toxic > 0").select("key", "text").mapInArrow(part, "key string, a long, b long, c long, d long").toPandas().sort_values("key")
+    t = d.where("toxic > 0").select("doc_id", "text").mapInArrow(part, "doc_id long, a long, b long, c long, d long").toPandas().sort_values("doc_id")
     prints = t[["a", "b", "c", "d"]].to_numpy().view(np.uint64)
     kept: list[int] = []
     for i in range(len(t)):
         if not kept or (distance(prints[kept], prints[i]) > 64).all():
             kept.append(i)
-    return t["key"].iloc[kept].tolist()
+    return t["doc_id"].iloc[kept].tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, min_support: int = 4, min_precision: float = 0.75, threshold: float = 0.5) -> Model:
@@ -281,32 +281,42 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, min_supp
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     ids = docs.sparkSession.createDataFrame(y.toPandas().astype({"doc_id": "int64", "toxic": "int32"}), "doc_id long, toxic int")
     d = narrow(docs, "doc_id", "text").dropna().join(F.broadcast(ids), "doc_id")  # bounded by max_labelled
-    d = d.groupBy(F.sha2("text", 256).alias("key")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
-    d = cut(d.select("key", "toxic", "text").repartition(24, "key"))
+    d = cut(d.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")))
     model = Model(lm, {}, threshold)
-    kept = _distinct_enough(d)
-    if not kept:
+    kept = np.array(_distinct_enough(d), np.int64)
+    if not len(kept):
         return model
-    chosen = set(kept)
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def positive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for b in batches:
-            toxic, texts = b.column(1).to_numpy(zero_copy_only=False) > 0, b.column(2)
-            use = ~toxic | np.array([k.as_py() in chosen for k in b.column(0)], bool)
+            texts = b.filter(pa.array(np.isin(b.column(0).to_numpy(), kept))).column(2)
             for lo, hi in slices(texts):
-                r, h = _doc_features(texts.slice(lo, hi - lo), lm, known)
-                ok = use[lo:hi][r]
-                u, i = np.unique(h[ok], return_inverse=True)
-                pos = np.bincount(i, weights=toxic[lo:hi][r[ok]], minlength=len(u)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(pos), pa.array(np.bincount(i, minlength=len(u)) - pos)], names=["f", "pos", "neg"])
+                u, n = np.unique(_doc_features(texts.slice(lo, hi - lo), lm, known)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(n)], names=["f", "pos"])
 
-    found = cut(d.mapInArrow(counts, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos > 0"))
+    found = d.where("toxic > 0").mapInArrow(positive, "f long, pos long").groupBy("f").agg(F.sum("pos").alias("pos"))
     tried, total = found.count(), max(1, d.count())
-    found = found.where(F.col("pos") >= min_support).where("pos > neg").toPandas()
-    f, pos, n = found["f"].to_numpy().view(np.uint64), found["pos"].to_numpy(), (found["pos"] + found["neg"]).to_numpy()
+    found = found.where(F.col("pos") >= min_support).toPandas().sort_values("f", key=lambda f: f.to_numpy().view(np.uint64))
+    f, pos = found["f"].to_numpy().view(np.uint64), found["pos"].to_numpy()
     if not len(f):
         return model
+
+    def negative(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        n = np.zeros(len(f), np.int64)
+        for b in batches:
+            texts = b.column(2)
+            for lo, hi in slices(texts):
+                h = _doc_features(texts.slice(lo, hi - lo), lm, known)[1]
+                i = np.searchsorted(f, h).clip(max=len(f) - 1)
+                n += np.bincount(i[f[i] == h], minlength=len(f))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["at", "neg"])
+
+    n = pos.copy()
+    for r in d.where("toxic <= 0").mapInArrow(negative, "at int, neg long").groupBy("at").agg(F.sum("neg").alias("neg")).toLocalIterator():
+        n[r["at"]] += r["neg"]
     rate = min(0.5, (len(kept) + 1) / total)
     # binomial tail, bounded by its first term times a geometric series
     log_tail = np.array([math.lgamma(b + 1) - math.lgamma(a + 1) - math.lgamma(b - a + 1) + a * math.log(rate) + (b - a) * math.log1p(-rate) for a, b in zip(pos, n)])
