@@ -7,6 +7,7 @@ without a partition run over distinct classes or encoded values alone, never ove
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,12 +36,16 @@ def encode_label(df: DataFrame, label: str, out: str = "y") -> DataFrame:
 
 
 def encode_categorical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """df with these columns as codes of their text; NULL counts as 'missing'."""
+    """df with these columns as codes of their text; NULL counts as 'missing'.
+
+    Each column's codes come from df itself, so that the plan grows with the columns and doesn't double with each.
+    """
+    out = df
     for name in columns:
-        d = df.withColumn(name, F.coalesce(F.col(name).cast("string"), F.lit("missing")))
-        c = codes(d, name).toDF("__value", "__code")
-        df = d.join(c, F.col(name) == F.col("__value")).withColumn(name, F.col("__code")).drop("__value", "__code").select(*df.columns)
-    return df
+        v = F.coalesce(F.col(name).cast("string"), F.lit("missing"))
+        c = codes(df.select(v.alias("v")), "v").toDF("__value", "__code")
+        out = out.join(c, v == F.col("__value")).withColumn(name, F.col("__code")).select(*df.columns)
+    return out
 
 
 def standardize(df: DataFrame, columns: Sequence[str], scale: bool = True) -> DataFrame:
@@ -128,9 +133,10 @@ def forest_provider(df: DataFrame, features: Sequence[str], y: str = "y", trees:
 
     d = _assembled(df, features, y).persist()
     k = int(d.agg(F.max(y)).first()[0] or 0) + 1
+    with ThreadPoolExecutor(folds) as pool:  # a fit is a chain of small jobs; the folds' chains run side by side
+        models = list(pool.map(lambda f: _forest(y, trees, depth, seed).fit(d.where(F.col("fold") != f)), range(folds)))
     out = None
-    for f in range(folds):
-        m = _forest(y, trees, depth, seed).fit(d.where(F.col("fold") != f))
+    for f, m in enumerate(models):
         p = vector_to_array("probability")
         t = m.transform(d.where(F.col("fold") == f)).withColumn("p", F.concat(p, F.array_repeat(F.lit(0.0), k - m.numClasses)) if m.numClasses < k else p)
         t = t.withColumn(y, F.col(y).cast("int")).select(*df.columns, "p")
@@ -235,16 +241,20 @@ def check_labels(d: DataFrame, folds: int = FOLDS, y: str = "y") -> None:
 
 
 def prepare(df: DataFrame, label: str, row_id: str, exclude: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
-    """Encoded, completed and scaled features of all columns but the label, the id and the excluded ones; with y, fold."""
-    d = encode_label(df, label)
+    """Encoded, completed and scaled features of all columns but the label, the id and the excluded ones; with y, fold.
+
+    What several later steps read is cached, as each would compute it again.
+    """
+    d = encode_label(df, label).persist()
     feats = [c for c in df.columns if c not in {label, row_id, *exclude}]
     kinds = dict(d.dtypes)
-    d = encode_categorical(d, [c for c in feats if kinds[c] == "string"])
+    d = encode_categorical(d, [c for c in feats if kinds[c] == "string"]).persist()
     kinds = dict(d.dtypes)
     d = d.withColumns({c: F.col(c).cast("int") for c in feats if kinds[c] == "boolean"})
     feats = [c for c in feats if kinds[c] in ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double") or kinds[c].startswith("decimal")]
     d = standardize(d, [c for c in feats if kinds[c] != "boolean"])
-    return stratified_folds(d, row_id).select(row_id, *feats, "y", "fold"), feats
+    folds = stratified_folds(d.select(row_id, "y"), row_id).select(F.col(row_id).alias("__id"), "fold")
+    return d.join(folds, F.col(row_id) == F.col("__id")).select(row_id, *feats, "y", "fold").persist(), feats
 
 
 def label_issues(df: DataFrame, label: str, row_id: str = "row_id", provider: Callable[[DataFrame, Sequence[str]], DataFrame] | None = None, exclude: Sequence[str] = (), **forest) -> DataFrame:
