@@ -242,7 +242,9 @@ def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, y, fold, p): quality labels with out-of-fold probabilities by language."""
     j = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     e = labels.encode_label(j.select(F.col("doc_id").alias("row_id"), F.col("lang").alias("k"), "quality"), "quality")
-    return labels.frequency_provider(labels.stratified_folds(e.select("row_id", "k", "y")), "k", 2).select("row_id", "y", "fold", "p")
+    # each step reads its input several times; cached, the plan stays flat
+    f = labels.stratified_folds(e.select("row_id", "k", "y").persist()).persist()
+    return labels.frequency_provider(f, "k", 2).select("row_id", "y", "fold", "p").persist()
 
 
 _P = (
