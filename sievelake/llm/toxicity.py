@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character trigram model is counted over every document. Tokens with signs of disguise (symbols for letters, letters
-repeated three times or more, single letters set apart) become lattices whose best path under channel and language
+repeated three times or more or doubled in a rare word, letters or short chunks set apart) become lattices whose best path under channel and language
 model restores the text; a lexicon of words and word beginnings, learned from labelled documents, scores plain and
 restored text alike.
 """
@@ -26,6 +26,9 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t",
 CODES = 128
 PREFIXES = (3, 4, 5, 6, 7, 8)
 WHOLE = 99
+#: A word is common if it is seen so often, and is such a share of all words.
+COMMON_COUNT, COMMON_SHARE = 5, 1e-5
+_NONE = np.zeros(0, np.uint64)
 _LATIN = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœąćęłńśźżčďěňřšťůžğışőű"
 
 
@@ -107,62 +110,154 @@ def lattice(token: str, apart: bool = False) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, lm: np.ndarray, apart: bool = False) -> str:
+def chunk_lattice(chunks: str) -> list[list[tuple[str, float]]]:
+    """Lattice of chunks with blanks between them. A blank is real, unless it stands between two single letters."""
+    parts, out = chunks.split(" "), []
+    for k, c in enumerate(parts):
+        if k:
+            out.append([("", 0.0), (" ", -2.0)] if len(c) == len(parts[k - 1]) == 1 else [(" ", 0.0), ("", -2.0)])
+        out += lattice(c)
+    return out
+
+
+def decode(token: str, lm: np.ndarray, apart: bool = False, chunks: bool = False) -> str:
     """Viterbi path through the lattice of a token; the state is the last two characters. An empty token stays empty."""
-    code = codes()
+    code, p = memoryview(codes()), memoryview(lm.reshape(-1))
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(token, apart):
+    for options in chunk_lattice(token) if chunks else lattice(token, apart):
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, text) in best.items():
             for emitted, cost in options:
                 s, x, y = score + cost, a, b
                 for ch in emitted:
-                    z = int(code[ord(ch)])
+                    z = code[ord(ch)]
                     if z or y:
-                        s += float(lm[x, y, z])
+                        s += p[(x * CODES + y) * CODES + z]
                         x, y = y, z
                 if (x, y) not in new or new[x, y][0] < s:
                     new[x, y] = (s, text + emitted)
         best = new
-    return max((s + (float(lm[a, b, 0]) if b else 0.0), text) for (a, b), (s, text) in best.items())[1].strip()
+    return max((s + (p[(a * CODES + b) * CODES] if b else 0.0), text) for (a, b), (s, text) in best.items())[1].strip()
+
+
+def common_words(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of the words with a doubled letter, or of at most 3 letters, that the corpus has often.
 
+    Often means at least COMMON_COUNT times and a COMMON_SHARE of all words, so there are at most 1 / COMMON_SHARE.
+    """
 
-def suspects(texts: pa.Array) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
-    """(row, token) with symbols for letters or with repeated letters, and (row, letters) set apart one by one."""
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(0)
+            for lo, hi in slices(texts):
+                w = Words(texts.slice(lo, hi - lo))
+                if len(w.hash):
+                    h, n = np.unique(w.hash[doubled(w) | (w.end - w.start <= 3)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([None, *signed(h).tolist()], pa.int64()), pa.array([len(w.hash), *n.tolist()], pa.int64())], names=["h", "n"])
+
+    n = cut(narrow(docs, "text").mapInArrow(part, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    total = n.where("h IS NULL").first()
+    least = max(COMMON_COUNT, COMMON_SHARE * total["n"]) if total else COMMON_COUNT
+    return np.sort(n.where(F.col("h").isNotNull() & (F.col("n") >= least)).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+
+
+def doubled(w: Words) -> np.ndarray:
+    """Whether each word has the same letter twice in a row."""
+    same = np.zeros(len(w.cp) + 1, np.int64)
+    if len(w.cp):
+        same[2:] = np.cumsum((w.cp[1:] == w.cp[:-1]) & (codes()[w.cp[1:]] > 0))
+    return same[w.end] > same[np.minimum(w.start + 1, w.end)]
+
+
+def _among(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(h), bool)
+    return keys[np.searchsorted(keys, h).clip(max=len(keys) - 1)] == h
+
+
+def suspects(texts: pa.Array, common: np.ndarray = _NONE, w: Words | None = None) -> tuple[list[tuple[int, str]], list[tuple[int, str]], list[tuple[int, str]]]:
+    """(row, token) with symbols for letters, separators within words or repeated letters; (row, letters) set apart one
+    by one; (row, chunks with blanks between) set apart by twos and threes.
+
+    Letters doubled in words that are common, and common words of three letters, aren't signs of disguise.
+    """
     _, word, space = tables()
+    w = w or Words(texts)
     cp, offs = codepoints(texts)
     n = len(cp)
     if not n:
-        return [], []
-    code = codes()[cp]
-    letter = code > 0
+        return [], [], []
+    letter = codes()[cp] > 0
     sign = np.zeros(0x110000, dtype=bool)
     sign[[ord(c) for c in LEET]] = True
     sign = sign[cp]
-    after, before = np.zeros(n, bool), np.zeros(n, bool)
-    after[:-1], before[1:] = letter[1:], letter[:-1]
-    edge = np.ones(n, bool)
-    edge[:-1] = cp[1:] != cp[:-1]
-    odd = sign & (after | before & edge & (cp != ord("!")) & (cp != ord("|")) & (cp != ord("(")))
-    low = tables()[0][cp]
-    odd[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
-    solid = ~space[cp]
-    s, e = spans(solid, offs)
+    mark = (cp == ord("!")) | (cp == ord("|")) | (cp == ord("("))
+    first, last = offs[:-1][offs[:-1] < n], offs[1:][offs[1:] > 0] - 1
+
+    def beside(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        before, after = np.zeros(n, bool), np.zeros(n, bool)
+        before[1:], after[:-1] = flag[:-1], flag[1:]
+        before[first] = after[last] = False
+        return before, after
+
+    def count(flag: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(flag)])
+
+    before, after = beside(letter)
+    low = w.cp
+    odd = np.zeros(n, bool)
+    odd[2:] = letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
+    odd[w.start[doubled(w) & ~_among(w.hash, common)]] = True
+    # runs of symbols: before or after letters, or all that a token has; marks at the end are punctuation
+    a, b = spans(sign, offs)
+    firm, bits, letters = count(sign & ~mark), count(word[cp] | sign), count(letter)
+    odd[a[after[b - 1] | before[a] & (firm[b] > firm[a])]] = True
+    s, e = spans(~space[cp], offs)
+    if len(a):
+        t = np.searchsorted(s, a, side="right") - 1
+        differ = np.zeros(n, bool)
+        differ[1:] = cp[1:] != cp[:-1]
+        differ = count(differ)
+        odd[a[(b - a >= 3) & (bits[e[t]] - bits[s[t]] == b - a) & (firm[b] > firm[a]) & (differ[b] > differ[a + 1])]] = True
+    # separators, however many, between two letters or a letter and a symbol
+    a, b = spans(~(letter | sign | space[cp] | word[cp] & (cp != ord("_"))), offs)
+    before, after = beside(letter | sign)
+    side = before[a] & after[b - 1]
+    a, b = a[side], b[side]
+    odd[a[letter[a - 1] | letter[b]]] = True
     hit = np.flatnonzero(np.add.reduceat(odd.astype(np.int32), s) > 0) if len(s) else np.zeros(0, np.int64)
     # reduceat sums up to the next start, and what lies between two tokens is white space, which is never odd
     noisy = [(int(r), cp[a:b].tobytes().decode("utf-32-le").strip("!?.,;:*#%&\"'")) for r, a, b in zip(rows_of_spans(offs, s[hit]), s[hit], e[hit])]
     ws, we = spans(word[cp] | sign, offs)
-    single = (we - ws == 1) & (cp[ws] != ord("|")) if len(ws) else np.zeros(0, bool)
-    apart = []
-    if single.any():
-        near = np.zeros(len(ws), bool)
-        near[1:] = (ws[1:] - we[:-1] == 1) & single[1:] & single[:-1] & (rows_of_spans(offs, ws[1:]) == rows_of_spans(offs, ws[:-1]))
-        # `near` marks a letter that continues the one before
-        starts = np.flatnonzero(near & ~np.concatenate([[False], near[:-1]])) - 1
-        ends = np.flatnonzero(near & ~np.concatenate([near[1:], [False]])) + 1
-        row = rows_of_spans(offs, ws[starts]) if len(starts) else []
-        apart = [(int(r), cp[ws[a:b]].tobytes().decode("utf-32-le")) for r, a, b in zip(row, starts, ends) if b - a >= 3]
-    return noisy, apart
+    apart: list[tuple[int, str]] = []
+    chunks: list[tuple[int, str]] = []
+    if not len(ws):
+        return noisy, apart, chunks
+    row = rows_of_spans(offs, ws)
+    size = we - ws
+    single = (size == 1) & (cp[ws] != ord("|"))
+    short = single | (size == 2) & (letters[we] + firm[we] > letters[ws] + firm[ws])
+    three = np.flatnonzero((size == 3) & (letters[we] > letters[ws]))
+    i = np.searchsorted(w.start, ws[three]).clip(max=max(len(w.start) - 1, 0))
+    if len(w.start):
+        short[three] = ~((w.start[i] == ws[three]) & (w.end[i] == we[three]) & _among(w.hash[i], common))
+
+    def runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = np.zeros(len(ws) + 1, bool)
+        near[1:-1] = flag[1:] & flag[:-1] & (row[1:] == row[:-1])
+        # `near` marks a chunk that continues the one before
+        return np.flatnonzero(near[1:] & ~near[:-1]), np.flatnonzero(near[:-1] & ~near[1:]) + 1
+
+    for a, b in zip(*runs(single)):
+        if b - a >= 3:
+            apart.append((int(row[a]), cp[ws[a:b]].tobytes().decode("utf-32-le")))
+    a, b = runs(short)
+    sizes = count(size)
+    mixed = (sizes[b] - sizes[a] > b - a) & (letters[we[b - 1]] > letters[ws[a]])
+    for a, b in zip(a[mixed].tolist(), b[mixed].tolist()):
+        text = cp[ws[a] : we[b - 1]].tobytes().decode("utf-32-le")
+        chunks.append((int(row[a]), " ".join(text[x - ws[a] : y - ws[a]] for x, y in zip(ws[a:b], we[a:b]))))
+    return noisy, apart, chunks
 
 
 def rows_of_spans(offs: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -185,18 +280,18 @@ class Model:
     lm: np.ndarray
     lexicon: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     threshold: float = 0.5
+    common: np.ndarray = field(default_factory=lambda: _NONE)
 
 
-def restored(texts: pa.Array, lm: np.ndarray, known: dict) -> tuple[list[int], list[str]]:
+def restored(texts: pa.Array, lm: np.ndarray, known: dict, common: np.ndarray = _NONE, w: Words | None = None) -> tuple[list[int], list[str]]:
     """Rows and restored readings of all suspect tokens."""
-    noisy, apart = suspects(texts)
     rows, out = [], []
-    for kind, found in ((False, noisy), (True, apart)):
+    for kind, found in enumerate(suspects(texts, common, w)):
         for r, t in found:
             if (kind, t) not in known:
                 if len(known) > 50_000:
                     known.clear()  # only a memory of what was decoded
-                known[kind, t] = decode(t, lm, kind)
+                known[kind, t] = decode(t, lm, kind == 1, kind == 2)
             rows.append(r)
             out.append(known[kind, t])
     return rows, out
@@ -220,14 +315,14 @@ def lexicon_hits(w: Words, lexicon: dict[int, tuple[np.ndarray, np.ndarray]]) ->
     return np.concatenate(at_all), np.concatenate(wt_all), np.concatenate(h_all)
 
 
-def _doc_features(texts: pa.Array, lm: np.ndarray, known: dict) -> tuple[np.ndarray, np.ndarray]:
+def _doc_features(texts: pa.Array, lm: np.ndarray, known: dict, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, feature) of plain and restored text."""
     w = Words(texts)
     rows, hs = [], []
     for _, h, at in features(w):
         rows.append(w.row[at])
         hs.append(h)
-    r2, words = restored(texts, lm, known)
+    r2, words = restored(texts, lm, known, common, w)
     if words:
         v = Words(pa.array(words))
         back = np.array(r2)
@@ -277,12 +372,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, min_supp
     train; of repeated labels the highest counts. Without toxic labels the lexicon is empty and nothing is toxic.
     """
     lm = language_model(count_trigrams(docs))
+    common = common_words(docs)
     y = narrow(labels, "doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     ids = docs.sparkSession.createDataFrame(y.toPandas().astype({"doc_id": "int64", "toxic": "int32"}), "doc_id long, toxic int")
     d = narrow(docs, "doc_id", "text").dropna().join(F.broadcast(ids), "doc_id")  # bounded by max_labelled
     d = cut(d.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")))
-    model = Model(lm, {}, threshold)
+    model = Model(lm, {}, threshold, common)
     kept = np.array(_distinct_enough(d), np.int64)
     if not len(kept):
         return model
@@ -292,7 +388,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, min_supp
         for b in batches:
             texts = b.filter(pa.array(np.isin(b.column(0).to_numpy(), kept))).column(2)
             for lo, hi in slices(texts):
-                u, n = np.unique(_doc_features(texts.slice(lo, hi - lo), lm, known)[1], return_counts=True)
+                u, n = np.unique(_doc_features(texts.slice(lo, hi - lo), lm, known, common)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(n)], names=["f", "pos"])
 
     found = d.where("toxic > 0").mapInArrow(positive, "f long, pos long").groupBy("f").agg(F.sum("pos").alias("pos"))
@@ -308,7 +404,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, min_supp
         for b in batches:
             texts = b.column(2)
             for lo, hi in slices(texts):
-                h = _doc_features(texts.slice(lo, hi - lo), lm, known)[1]
+                h = _doc_features(texts.slice(lo, hi - lo), lm, known, common)[1]
                 i = np.searchsorted(f, h).clip(max=len(f) - 1)
                 n += np.bincount(i[f[i] == h], minlength=len(f))
         at = np.flatnonzero(n)
@@ -332,7 +428,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, min_supp
             texts = b.column(2)
             for lo, hi in slices(texts):
                 piece = texts.slice(lo, hi - lo)
-                _, words = restored(piece, lm, known)
+                _, words = restored(piece, lm, known, common)
                 for w in (Words(piece), Words(pa.array(words or [""]))):
                     grid = np.full((len(w.hash), len(PREFIXES) + 1), -1, np.int32)
                     for col, (_, h, at) in enumerate(features(w)):
@@ -365,7 +461,7 @@ def _judge(texts: pa.Array, model: Model, known: dict) -> tuple[np.ndarray, list
     w = Words(texts)
     at, wt, h = lexicon_hits(w, model.lexicon)
     rows, weights, keys = [w.row[at]], [wt], [h]
-    back, words = restored(texts, model.lm, known)
+    back, words = restored(texts, model.lm, known, model.common, w)
     if words:
         v = Words(pa.array(words))
         at, wt, h = lexicon_hits(v, model.lexicon)
