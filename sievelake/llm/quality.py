@@ -7,6 +7,7 @@ calibrated views are combined, and every document gets a score.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import cut, narrow
-from ._text import Words, codepoints, mix, slices, spans, tables
+from ._text import Words, codepoints, slices, spans, tables
 
 #: Buckets into which sources and languages are hashed.
 SOURCE_BUCKETS, LANG_BUCKETS = 32, 8
@@ -71,9 +72,9 @@ def text_view(texts: pa.Array) -> np.ndarray:
 
 
 def _bucket(column: pa.Array, buckets: int) -> np.ndarray:
-    """A stable hash of strings; NULL is bucket 0."""
+    """A stable hash of whole strings; NULL is bucket 0."""
     d = column.dictionary_encode()
-    names = [0 if v is None else 1 + int(mix(np.array([int.from_bytes(v.encode()[:64].ljust(8, b"\0"), "little") % (1 << 61)], np.uint64))[0] % np.uint64(buckets - 1)) for v in d.dictionary.to_pylist()]
+    names = [0 if v is None else 1 + int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little") % (buckets - 1) for v in d.dictionary.to_pylist()]
     index = pc.fill_null(d.indices, -1).to_numpy(zero_copy_only=False)
     return np.where(index < 0, 0, np.array([*names, 0])[index])
 
