@@ -58,7 +58,7 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
-def forest_shape(n: int, same_bit: float, design: int = 28, recall: float = 0.95, per_doc: int = 500, most: int = 400) -> tuple[int, int]:
+def forest_shape(n: int, same_bit: float, design: int = MAX_DISTANCE, recall: float = 0.95, per_doc: int = 500, most: int = 400) -> tuple[int, int]:
     """Prefix depth and number of tries for n distinct fingerprints.
 
     Starting at the deepest prefix that one 64-bit key holds, climb to shorter ones until the tries needed for the
@@ -144,7 +144,8 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
 def edges(prints: DataFrame, max_distance: int = MAX_DISTANCE, recall: float = 0.95, design: int | None = None) -> DataFrame:
     """Verified pairs (x, y) of ids that connect near-duplicates; prints is a checkpointed fingerprint_table().
 
-    Documents with one fingerprint are joined to the least id, and only that id enters the forest.
+    Documents with one fingerprint are joined to the least id, and only that id enters the forest. The recall holds for
+    pairs at the design distance, which is max_distance unless it is given; nearer pairs are found more often.
     """
     fp = ["a", "b", "c", "d"]
     low = F.min("doc_id").over(Window.partitionBy(*fp))
@@ -155,7 +156,7 @@ def edges(prints: DataFrame, max_distance: int = MAX_DISTANCE, recall: float = 0
     ones = heads.agg(*(F.avg(F.getbit(c, F.lit(i)).cast("double")).alias(f"{c}{i}") for c in fp for i in range(64))).first()
     p = np.array([x if x is not None else 0.5 for x in ones])
     same_bit = float(np.sqrt(np.mean((p**2 + (1 - p) ** 2) ** 2)))
-    depth, tries = forest_shape(n, same_bit, design or max_distance * 2 // 3, recall)
+    depth, tries = forest_shape(n, same_bit, design or max_distance, recall)
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
