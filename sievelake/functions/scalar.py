@@ -47,10 +47,6 @@ def numeric_fields(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def string_fields(df: DataFrame) -> list[T.StructField]:
-    return [f for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-
-
 def argmax(p: Column) -> Column:
     """Place, from 0, of the first greatest element."""
     return (F.array_position(p, F.array_max(p)) - 1).cast("int")
