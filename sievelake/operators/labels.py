@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import CONFIDENCE_PERCENTILE, DEFAULT_THRESHOLD, FOLDS, QUALITY_LIMIT
+from ..functions.quantiles import exact_quantiles
 from ..functions.scalar import argmax, number
+from ..sources.shared import shared_dir
 
+#: Rows that a task of a forest's fit has, at least.
+ROWS_A_TASK = 20_000
 #: Stretches of row ids in which ranks are counted side by side.
 STRETCHES = 1024
 
@@ -23,6 +27,14 @@ class LabelError(ValueError):
     """The labels don't allow cross-validation."""
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, by a reliable checkpoint, in as few tasks as its rows need: a fit is a chain of small jobs."""
+    shared_dir(df.sparkSession)
+    d = df.checkpoint()
+    few = max(1, d.count() // ROWS_A_TASK)
+    return d.coalesce(few) if few < d.rdd.getNumPartitions() else d
+
+
 def codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code) of the distinct values that aren't NULL, in their order, from 0."""
     v = df.select(F.col(column).alias("value")).where("value is not null").distinct()
@@ -141,6 +153,8 @@ def forest_provider(df: DataFrame, features: Sequence[str], y: str = "y", trees:
         t = m.transform(d.where(F.col("fold") == f)).withColumn("p", F.concat(p, F.array_repeat(F.lit(0.0), k - m.numClasses)) if m.numClasses < k else p)
         t = t.withColumn(y, F.col(y).cast("int")).select(*df.columns, "p")
         out = t if out is None else out.unionByName(t)
+    out = settled(out)  # thresholds, joint and scores all read it
+    d.unpersist()
     return out
 
 
@@ -157,9 +171,14 @@ def _own(p: str = "p", y: str = "y"):
 
 
 def thresholds(d: DataFrame, percentile: float = CONFIDENCE_PERCENTILE, approx: bool = False) -> DataFrame:
-    """(class, threshold): a percentile of the probability that rows give their own class."""
-    q = F.percentile_approx(_own(), percentile, 100_000) if approx else F.percentile(_own(), percentile)
-    return d.groupBy(F.col("y").alias("class")).agg(q.alias("threshold"))
+    """(class, threshold): a percentile of the probability that rows give their own class.
+
+    Exact percentiles are computed when this is called, without a task that holds a class's distinct values.
+    """
+    if approx:
+        return d.groupBy(F.col("y").alias("class")).agg(F.percentile_approx(_own(), percentile, 100_000).alias("threshold"))
+    found = exact_quantiles(d.select(F.col("y").alias("k"), _own().alias("x")), [percentile])
+    return d.sparkSession.createDataFrame([(k, q[0]) for k, (_, q) in found.items()], f"class {d.schema['y'].dataType.simpleString()}, threshold double")
 
 
 def _grid(d: DataFrame) -> DataFrame:
@@ -241,20 +260,26 @@ def check_labels(d: DataFrame, folds: int = FOLDS, y: str = "y") -> None:
 
 
 def prepare(df: DataFrame, label: str, row_id: str, exclude: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
-    """Encoded, completed and scaled features of all columns but the label, the id and the excluded ones; with y, fold.
+    """(row_id, x0.., y, fold) and the names of the features x0..: all columns but the label, the id and the excluded ones.
 
-    What several later steps read is cached, as each would compute it again.
+    Features are encoded, completed and scaled; columns that are neither text nor numbers aren't among them. Their names
+    are replaced, so that none can clash. The result is computed once, as many later steps read it.
     """
-    d = encode_label(df, label).persist()
-    feats = [c for c in df.columns if c not in {label, row_id, *exclude}]
+    wanted = [c for c in df.columns if c not in {label, row_id, *exclude}]
+    d = df.select(F.col(f"`{row_id}`").alias("row_id"), F.col(f"`{label}`").alias("__label"), *(F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(wanted)))
+    feats = d.columns[2:]
+    d = first = encode_label(d, "__label").persist()
     kinds = dict(d.dtypes)
-    d = encode_categorical(d, [c for c in feats if kinds[c] == "string"]).persist()
+    d = second = encode_categorical(d, [c for c in feats if kinds[c] == "string"]).persist()
     kinds = dict(d.dtypes)
     d = d.withColumns({c: F.col(c).cast("int") for c in feats if kinds[c] == "boolean"})
     feats = [c for c in feats if kinds[c] in ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double") or kinds[c].startswith("decimal")]
     d = standardize(d, [c for c in feats if kinds[c] != "boolean"])
-    folds = stratified_folds(d.select(row_id, "y"), row_id).select(F.col(row_id).alias("__id"), "fold")
-    return d.join(folds, F.col(row_id) == F.col("__id")).select(row_id, *feats, "y", "fold").persist(), feats
+    folds = stratified_folds(d.select("row_id", "y")).select(F.col("row_id").alias("__id"), "fold")
+    out = settled(d.join(folds, F.col("row_id") == F.col("__id")).select("row_id", *feats, "y", "fold"))
+    first.unpersist()
+    second.unpersist()
+    return out, feats
 
 
 def label_issues(df: DataFrame, label: str, row_id: str = "row_id", provider: Callable[[DataFrame, Sequence[str]], DataFrame] | None = None, exclude: Sequence[str] = (), **forest) -> DataFrame:
@@ -265,15 +290,15 @@ def label_issues(df: DataFrame, label: str, row_id: str = "row_id", provider: Ca
     d, feats = prepare(df, label, row_id, exclude)
     check_labels(d)
     got = provider(d, feats) if provider else forest_provider(d, feats, **forest)
-    return got.select(F.col(row_id).alias("row_id"), "y", "p")
+    return got.select("row_id", "y", "p")
 
 
 def clean_learning(df: DataFrame, label: str, row_id: str = "row_id", exclude: Sequence[str] = (), **forest) -> tuple[DataFrame, DataFrame]:
     """Issues (row_id, given, predicted, quality) by prune(), and quality (row_id, quality) of a forest fitted to the rest."""
     d, feats = prepare(df, label, row_id, exclude)
     check_labels(d)
-    bad = prune(forest_provider(d, feats, **forest), row_id).select(F.col("row_id").alias("__bad"))
-    kept = d.join(bad, F.col(row_id) == F.col("__bad"), "left_anti")
+    bad = prune(forest_provider(d, feats, **forest)).select(F.col("row_id").alias("__bad")).checkpoint()
+    kept = settled(d.join(bad, F.col("row_id") == F.col("__bad"), "left_anti"))
     t = refit(d, kept, feats, **forest)
-    all_ = t.select(F.col(row_id).alias("row_id"), F.col("y").alias("given"), "predicted", F.coalesce(_own(), F.lit(0.0)).alias("quality"))
+    all_ = t.select("row_id", F.col("y").alias("given"), "predicted", F.coalesce(_own(), F.lit(0.0)).alias("quality"))
     return all_.join(bad, F.col("row_id") == F.col("__bad"), "left_semi"), all_.select("row_id", "quality")
