@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import WHITE_SPACE
 from ..operators import image, labels, table, text
-from ..sources import samples
+from ..sources import readers, samples, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,9 +111,25 @@ _FLAGS = ("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 _FLAG_LIST = ", ".join(_FLAGS)
 
 
-@query(f"SELECT CAST(sum(n) - count(*) AS BIGINT) AS count, (sum(n) - count(*)) / CAST(sum(n) AS DOUBLE) * 100.0 AS percentage FROM (SELECT count(*) AS n FROM lineitem GROUP BY {_FLAG_LIST})")
+_REPEATED = "(SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 7 = 0 UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 21 = 0)"
+
+
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of lineitem, some rows twice and some three times."""
+    x = _t(spark, sf_dir, "lineitem")
+    return x.unionByName(x.where("l_orderkey % 7 = 0")).unionByName(x.where("l_orderkey % 21 = 0"))
+
+
+@query(f"SELECT CAST(sum(n) - count(*) AS BIGINT) AS count, (sum(n) - count(*)) / CAST(sum(n) AS DOUBLE) * 100.0 AS percentage FROM (SELECT count(*) AS n FROM {_REPEATED} GROUP BY ALL)".replace("count(*) AS n FROM", "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate, count(*) AS n FROM"))
 def duplicate_row_count(spark, d):
-    return table.duplicate_rows(_t(spark, d, "lineitem").select(*_FLAGS))
+    return table.duplicate_rows(repeated_lines(spark, d))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey) > 1 AS is_duplicate FROM {_REPEATED}")
+def duplicate_ties_flagged(spark, d):
+    """Rows that equal another in the order columns as well: all but one are duplicates."""
+    x = table.flag_duplicates(repeated_lines(spark, d), ["l_linenumber"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return x.select("l_orderkey", "l_linenumber", "is_duplicate")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey, (l_orderkey, l_linenumber, l_partkey, l_suppkey) <> min((l_orderkey, l_linenumber, l_partkey, l_suppkey)) OVER (PARTITION BY {_FLAG_LIST}) AS is_duplicate FROM lineitem")
@@ -122,26 +138,49 @@ def duplicate_rows_flagged(spark, d):
     return x.select("l_orderkey", "l_linenumber", "l_partkey", "is_duplicate")
 
 
-@query("SELECT * FROM (VALUES ('event_id', 'int64'), ('ts', 'datetime64[ns]'), ('user_id', 'int64'), ('event_type', 'object'), ('value', 'float64'), ('props', 'object')) t(\"column\", dtype)")
+_TYPES_SQL = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CASE WHEN count({c}) = 0 THEN 'float64' ELSE CASE typeof(any_value({c})) WHEN 'BIGINT' THEN CASE WHEN count({c}) < count(*) THEN 'float64' ELSE 'int64' END WHEN 'DOUBLE' THEN 'float64'
+        WHEN 'BOOLEAN' THEN 'bool' WHEN 'VARCHAR' THEN 'object' ELSE 'datetime64[ns]' END END AS dtype FROM t"""
+    for c in ("event_id", "ts", "user_id", "event_type", "value", "late", "nothing")
+)
+
+
+@query(f"WITH t AS (SELECT event_id, ts, nullif(user_id, (SELECT min(user_id) FROM events)) AS user_id, event_type, value, value > 5 AS late, CAST(NULL AS BIGINT) AS nothing FROM events) {_TYPES_SQL}")
 def data_types(spark, d):
-    return table.data_types(gappy_events(spark, d))
+    """Whole numbers with and without gaps, a truth value, a column without values."""
+    e = _t(spark, d, "events").drop("props")
+    least = e.agg(F.min("user_id").alias("least"))
+    e = e.crossJoin(F.broadcast(least)).withColumn("user_id", F.nullif("user_id", "least")).drop("least")
+    return table.data_types(e.withColumns({"late": F.col("value") > 5, "nothing": F.lit(None).cast("long")}))
+
+
+_TWICE = _GAPPY.replace("g AS (", "h AS (") + ", g AS (SELECT * FROM h UNION ALL SELECT * FROM h WHERE event_id % 50 = 0)"
+
+
+def twice_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gappy events, every fiftieth of them twice."""
+    e = gappy_events(spark, sf_dir)
+    return e.unionByName(e.where("event_id % 50 = 0"))
 
 
 _DUP_EVENTS = "SELECT sum(n) - count(*) AS c, sum(n) AS n FROM (SELECT count(*) AS n FROM g GROUP BY ALL)".replace("count(*) AS n FROM g GROUP BY ALL", "count(*) AS n FROM g GROUP BY event_id, ts, user_id, event_type, value, props")
-_GAPPY_OUTLIERS = _outliers_sql("g", ("event_id", "user_id", "value")).replace("WITH b AS", f"WITH {_GAPPY}, b AS", 1)
+_TWICE_OUTLIERS = _outliers_sql("g", ("event_id", "user_id", "value")).replace("WITH b AS", f"WITH {_TWICE}, b AS", 1)
 
 
 @query(
-    f"WITH {_GAPPY}, m AS ({_missing_sql()}), o AS ({_GAPPY_OUTLIERS}), u AS ({_DUP_EVENTS}), n AS (SELECT count(*) AS n FROM g) "
+    f"WITH {_TWICE}, m AS ({_missing_sql()}), o AS ({_TWICE_OUTLIERS}), u AS ({_DUP_EVENTS}), n AS (SELECT count(*) AS n FROM g) "
     "SELECT n.n AS rows, CAST(6 AS BIGINT) AS columns, CAST((SELECT sum(count) FROM m) AS DOUBLE) / (n.n * 6) * 100.0 AS missing_value_rate, CAST(u.c AS DOUBLE) / u.n * 100.0 AS duplicate_row_rate, coalesce(CAST((SELECT sum(count) FROM o) AS DOUBLE), 0) / n.n * 100.0 AS outlier_rate FROM n, u"
 )
 def table_metrics(spark, d):
-    return table.metrics(gappy_events(spark, d))
+    return table.metrics(twice_events(spark, d))
 
 
-@query(f"WITH {_GAPPY}, m AS ({_missing_sql()}), o AS ({_GAPPY_OUTLIERS}) SELECT 'missing_value' AS type, \"column\", count, percentage FROM m WHERE count > 0 UNION ALL SELECT 'outlier', \"column\", count, percentage FROM o")
+@query(
+    f"WITH {_TWICE}, m AS ({_missing_sql()}), o AS ({_TWICE_OUTLIERS}), u AS ({_DUP_EVENTS}) SELECT 'missing_value' AS type, \"column\", count, percentage FROM m WHERE count > 0 UNION ALL SELECT 'outlier', \"column\", count, percentage FROM o "
+    "UNION ALL SELECT 'duplicate_rows', NULL, CAST(c AS BIGINT), CAST(c AS DOUBLE) / n * 100.0 FROM u WHERE c > 0"
+)
 def table_issues(spark, d):
-    return table.issues(gappy_events(spark, d))
+    return table.issues(twice_events(spark, d))
 
 
 _WS = "'" + WHITE_SPACE + "'"
@@ -321,10 +360,23 @@ def confident_prune(spark, d):
     return labels.prune(frequencies(spark, d)).withColumn("margin", F.round("margin", 9))
 
 
+def mislabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with a label that follows from their size, wrong for every twentieth."""
+    p = _t(spark, sf_dir, "part")
+    small, wrong = F.col("p_size") <= 25, F.col("p_partkey") % 20 == 0
+    return p.select("p_partkey", F.floor((F.col("p_size") - 1) / 5).alias("step"), "p_retailprice", F.when(small != wrong, "small").otherwise("large").alias("label"))
+
+
+@query("SELECT p_partkey AS row_id, CAST(CASE WHEN p_size <= 25 THEN 0 ELSE 1 END AS INTEGER) AS given, CAST(CASE WHEN p_size <= 25 THEN 1 ELSE 0 END AS INTEGER) AS predicted FROM part WHERE p_partkey % 20 = 0")
 def label_errors_forest(spark, d):
-    """The forest on the sample table; no SQL can fit one. Not registered: it hasn't been seen to finish in good time."""
-    s = samples.noisy_labels(spark)
-    return labels.errors(labels.label_issues(s, "label", "id", exclude=["true_label"], trees=20, depth=6))
+    """Out-of-fold probabilities of a random forest find exactly the labels that don't follow from the size."""
+    return labels.errors(labels.label_issues(mislabelled(spark, d), "label", "p_partkey", trees=20, depth=4)).select("row_id", "given", "predicted")
+
+
+@query()
+def clean_learning(spark, d):
+    """Issues of the published method, with a forest fitted to the rest; what a forest gives can't be put in SQL."""
+    return labels.clean_learning(mislabelled(spark, d), "label", "p_partkey", trees=20, depth=4)[0]
 
 
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,10 +385,20 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), px.alias("px"))
 
 
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as gray images of various sizes, every fourth of one shade, and every 25th no image."""
+    i = F.col("vec_id")
+    px = F.transform("embedding", lambda x: (F.floor(x.cast("double") * (i % 4) * 40) + 128).cast("int"))
+    px = F.transform(px, lambda x: F.greatest(F.lit(0), F.least(F.lit(255), x)))
+    return _t(spark, sf_dir, "embeddings").select(i.alias("row_id"), (i % 80 + 60).cast("int").alias("height"), (i % 50 + 80).cast("int").alias("width"), F.when(i % 25 != 0, px).alias("px"))
+
+
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sharpness of the grids, with sides as large images have, and every 25th corrupt."""
-    m = image.sharpness(grids(spark, sf_dir)).select("row_id", (F.col("row_id") % 80 + 60).cast("int").alias("height"), (F.col("row_id") % 50 + 80).cast("int").alias("width"), F.round(F.col("sharpness") / 20, 6).alias("sharpness"))
-    return m.withColumns({c: F.when(F.col("row_id") % 25 != 0, F.col(c)) for c in ("height", "width", "sharpness")})
+    """Size and sharpness of the pictures, written as PNG files and read by the image source."""
+    folder = shared.new_folder(spark, "pictures")
+    samples.write_images(pictures(spark, sf_dir), folder)
+    m = image.measure(readers.read_images(spark, folder))
+    return m.select(F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("long").alias("row_id"), "height", "width", F.round("sharpness", 6).alias("sharpness"))
 
 
 _LAPLACIAN = """g AS (SELECT vec_id AS row_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 100) AS BIGINT)) AS px FROM embeddings),
@@ -344,7 +406,12 @@ _LAPLACIAN = """g AS (SELECT vec_id AS row_id, list_transform(embedding, lambda
     l AS (SELECT row_id, px[CASE WHEN i // 8 > 0 THEN i - 7 ELSE i + 9 END] + px[CASE WHEN i // 8 < 7 THEN i + 9 ELSE i - 7 END]
         + px[CASE WHEN i % 8 > 0 THEN i ELSE i + 2 END] + px[CASE WHEN i % 8 < 7 THEN i + 2 ELSE i END] - 4 * px[i + 1] AS v FROM c),
     v AS (SELECT row_id, CAST(sum(v * v) AS DOUBLE) / 64.0 - (CAST(sum(v) AS DOUBLE) / 64.0) * (CAST(sum(v) AS DOUBLE) / 64.0) AS sharpness FROM l GROUP BY row_id)"""
-_MEASURED = f"WITH {_LAPLACIAN}, m AS (SELECT row_id, CASE WHEN row_id % 25 <> 0 THEN CAST(row_id % 80 + 60 AS INTEGER) END AS height, CASE WHEN row_id % 25 <> 0 THEN CAST(row_id % 50 + 80 AS INTEGER) END AS width, CASE WHEN row_id % 25 <> 0 THEN round(sharpness / 20, 6) END AS sharpness FROM v)"
+_MEASURED = """WITH g AS (SELECT vec_id AS row_id, vec_id % 80 + 60 AS h, vec_id % 50 + 80 AS w, list_transform(embedding, lambda x: greatest(0, least(255, CAST(floor(CAST(x AS DOUBLE) * (vec_id % 4) * 40) AS BIGINT) + 128))) AS px FROM embeddings WHERE vec_id % 25 <> 0),
+    r AS (SELECT *, unnest(range(h)) AS r FROM g), c AS (SELECT *, unnest(range(w)) AS c FROM r),
+    l AS (SELECT row_id, px[(7 * CASE WHEN r > 0 THEN r - 1 ELSE 1 END + 3 * c) % 64 + 1] + px[(7 * CASE WHEN r < h - 1 THEN r + 1 ELSE h - 2 END + 3 * c) % 64 + 1]
+        + px[(7 * r + 3 * CASE WHEN c > 0 THEN c - 1 ELSE 1 END) % 64 + 1] + px[(7 * r + 3 * CASE WHEN c < w - 1 THEN c + 1 ELSE w - 2 END) % 64 + 1] - 4 * px[(7 * r + 3 * c) % 64 + 1] AS v FROM c),
+    v AS (SELECT row_id, CAST(sum(v * v) AS DOUBLE) / count(*) - (CAST(sum(v) AS DOUBLE) / count(*)) * (CAST(sum(v) AS DOUBLE) / count(*)) AS sharpness FROM l GROUP BY row_id),
+    m AS (SELECT vec_id AS row_id, CASE WHEN vec_id % 25 <> 0 THEN CAST(vec_id % 80 + 60 AS INTEGER) END AS height, CASE WHEN vec_id % 25 <> 0 THEN CAST(vec_id % 50 + 80 AS INTEGER) END AS width, round(sharpness, 6) AS sharpness FROM embeddings LEFT JOIN v ON vec_id = row_id)"""
 _IMAGE_ISSUES = """SELECT 'small_image' AS type, row_id, height, width, CAST(NULL AS DOUBLE) AS sharpness, CAST(NULL AS VARCHAR) AS error FROM m WHERE height < 100 OR width < 100
     UNION ALL SELECT 'blurry_image', row_id, NULL, NULL, sharpness, NULL FROM m WHERE sharpness < 50
     UNION ALL SELECT 'corrupted_image', row_id, NULL, NULL, NULL, 'image can''t be decoded' FROM m WHERE sharpness IS NULL"""
