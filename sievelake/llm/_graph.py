@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import cut
@@ -14,17 +14,19 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge list (two columns of one type): rows (node, root), root the least node.
 
     Self-loops give a component of their own; repeated edges and edges with a NULL end are ignored; no edges give no
-    rows. A round is two windows by node, which spill where a hub has many edges; rounds grow with the logarithm of
-    the longest chain. A reliable checkpoint cuts the lineage each round.
+    rows. A round is two aggregates by node, which combine map-side, each joined back to its edges; a hub with very many
+    edges is a skewed join key, which adaptive execution splits. Rounds grow with the logarithm of the longest chain,
+    and a reliable checkpoint cuts the lineage each round.
     """
     a, b = F.col(edges.columns[0]), F.col(edges.columns[1])
     first = cut(edges.where(a.isNotNull() & b.isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     e, seen = first.where("u <> v"), None
-    by_u = Window.partitionBy("u")
     for _ in range(MAX_ROUNDS):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least(F.min("v").over(by_u), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.withColumn("m", F.min("v").over(by_u)).select(F.explode(F.when(F.col("v") == F.col("m"), F.array("u")).otherwise(F.array("u", "v"))).alias("u"), F.col("m").alias("v")).distinct()
+        both = e.union(e.select("v", "u"))
+        low = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        large = both.where("v > u").join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        low = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        small = large.join(low, F.col("u") == F.col("w")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         e = cut(small)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen or now[0] == 0:

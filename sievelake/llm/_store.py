@@ -1,38 +1,18 @@
-"""Shared folder, lineage cuts and filters by key sets that may outgrow a broadcast."""
+"""Lineage cuts in the shared folder, and filters by key sets that may outgrow a broadcast."""
 
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Bits of a key filter: at most 1 MB is broadcast, however many keys there are.
-FILTER_BITS = 1 << 23
+from ..sources.shared import new_folder, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share, as the cluster names it in spark.checkpoint.dir.
-
-    Where the setting is absent, as in tests, a local master gets a temporary folder; a cluster gets an error.
-    """
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='sievelake-')}"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def new_folder(spark: SparkSession, kind: str) -> str:
-    """Name of a new folder in the shared one."""
-    return os.path.join(shared_dir(spark), f"{kind}-{uuid.uuid4().hex}")
+#: Least and greatest bits of a key filter. It has 16 bits for a key, and at most 32 MB are broadcast; with more keys than
+#: a filter that large can tell apart, a plain join of all rows takes its place.
+FILTER_BITS, MOST_BITS = 1 << 16, 1 << 28
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -51,10 +31,15 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     """
     path = new_folder(df.sparkSession, kind)
     df.write.option("compression", "zstd").parquet(path)
+    forget(df.sparkSession, path)
+    return df.sparkSession.read.parquet(path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove this folder when the Python process ends."""
     if not _written:
         atexit.register(_clean)
-    _written.append((df.sparkSession, path))
-    return df.sparkSession.read.parquet(path)
+    _written.append((spark, path))
 
 
 def _clean() -> None:
@@ -67,10 +52,15 @@ def _clean() -> None:
             pass
 
 
+#: Columns of ids.
+IDS = ("doc_id", "vec_id")
+
+
 def shield(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], dict[str, str]]:
     """df with positional column names, so that no other column can clash; the old names, and where the named ones are.
 
-    An exact match is preferred over one that differs in case; of repeated names the first counts.
+    An exact match is preferred over one that differs in case; of repeated names the first counts. Columns named in IDS
+    must hold whole numbers, which become BIGINT; others raise TypeError.
     """
     old = df.columns
     safe = [f"__sl_c{i}" for i in range(len(old))]
@@ -80,26 +70,34 @@ def shield(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], dict[str,
         if not hit:
             raise ValueError(f"no column {n} in {old}")
         at[n] = safe[hit[0]]
+        if n in IDS and not isinstance(df.schema[hit[0]].dataType, (T.IntegralType, T.NullType)):
+            raise TypeError(f"{n} must be a whole number, not {df.schema[hit[0]].dataType.simpleString()}")
     return df.toDF(*safe), old, at
 
 
 def narrow(df: DataFrame, *names: str) -> DataFrame:
     """Just the named columns, under these names."""
     s, _, at = shield(df, *names)
-    return s.select(*(F.col(at[n]).alias(n) for n in names))
+    return s.select(*((F.col(at[n]).cast("long") if n in IDS else F.col(at[n])).alias(n) for n in names))
 
 
-def _place(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+def filter_size(keys: int) -> int:
+    """Bits of a filter for so many keys, a power of two; 0 if none within bounds would tell them apart."""
+    bits = max(FILTER_BITS, 1 << (16 * keys - 1).bit_length() if keys else 0)
+    return min(bits, MOST_BITS) if 4 * keys <= MOST_BITS else 0
 
 
-def _marked(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+def _marked(df: DataFrame, key: str, keys: DataFrame, bits: int) -> DataFrame:
     """df with __sl_hit: whether the key may be among keys' first column. False is certain; NULL keys are false."""
     k = keys.columns[0]
-    bits = keys.where(F.col(k).isNotNull()).select((at := _place(F.col(k))).alias("at")).select(F.shiftright("at", 15).alias("__sl_bucket"), F.col("at").bitwiseAND(32767).alias("p"))
-    maps = bits.groupBy("__sl_bucket").agg(F.bitmap_construct_agg("p").alias("__sl_map"))
-    at = _place(F.col(key))
-    d = df.withColumn("__sl_at", at).withColumn("__sl_bucket", F.shiftright("__sl_at", 15))
+    kind = keys.schema[0].dataType
+
+    def place(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c.cast(kind)), F.lit(bits))
+
+    at = keys.where(F.col(k).isNotNull()).select(place(F.col(k)).alias("at")).select(F.shiftright("at", 15).alias("__sl_bucket"), F.col("at").bitwiseAND(32767).alias("p"))
+    maps = at.groupBy("__sl_bucket").agg(F.bitmap_construct_agg("p").alias("__sl_map"))
+    d = df.withColumn("__sl_at", place(F.col(key))).withColumn("__sl_bucket", F.shiftright("__sl_at", 15))
     d = d.join(F.broadcast(maps), "__sl_bucket", "left")
     p = F.col("__sl_at").bitwiseAND(32767)
     byte = F.conv(F.hex(F.substring(F.col("__sl_map"), (p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -108,25 +106,27 @@ def _marked(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return d.drop("__sl_at", "__sl_bucket", "__sl_map", "__sl_byte")
 
 
-def certainly_without(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows whose key is surely not among the keys, straight from the scan."""
-    return _marked(df, key, keys).where(~F.col("__sl_hit")).drop("__sl_hit")
-
-
 def possibly_with(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows whose key may be among the keys; an exact join must follow."""
-    return _marked(df, key, keys).where(F.col("__sl_hit")).drop("__sl_hit")
+    """Rows whose key may be among the keys, without a shuffle; an exact join must follow. keys should be checkpointed."""
+    bits = filter_size(keys.count())
+    return _marked(df, key, keys, bits).where(F.col("__sl_hit")).drop("__sl_hit") if bits else df.where(F.col(key).isNotNull())
 
 
-def keep_only(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Semi-join that shuffles only rows which a fixed-size filter lets through. keys should be checkpointed."""
-    k = keys.toDF("__sl_k")
-    d = possibly_with(df, key, k)
-    return d.join(k, d[key] == k["__sl_k"], "left_semi")
+def split_by(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(rows whose key is surely not among the keys, the others); no first part where no filter would tell.
+
+    Both are filters over df, without a shuffle. NULL keys are surely not among them. keys should be checkpointed.
+    """
+    bits = filter_size(keys.count())
+    if not bits:
+        return None, df
+    m = _marked(df, key, keys, bits)
+    return m.where(~F.col("__sl_hit")).drop("__sl_hit"), m.where(F.col("__sl_hit")).drop("__sl_hit")
 
 
 def drop_all(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Anti-join that shuffles only rows which a fixed-size filter can't clear. NULL keys stay."""
+    """Anti-join that shuffles only rows which a filter of bounded size can't clear. NULL keys stay."""
     k = keys.toDF("__sl_k")
-    d = possibly_with(df, key, k)
-    return certainly_without(df, key, k).unionByName(d.join(k, d[key] == k["__sl_k"], "left_anti"))
+    clear, d = split_by(df, key, k)
+    d = d.join(k, d[key] == k["__sl_k"], "left_anti")
+    return d if clear is None else clear.unionByName(d)

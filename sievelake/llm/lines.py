@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import certainly_without, cut, narrow, possibly_with, shield
+from ._runs import labels, run_edges, runs
+from ._store import cut, narrow, possibly_with, shield, split_by
 from ._text import codepoints, mix, prefix_hash, signed, slices, span_hash, tables
-from .simhash import _whole_runs, run_edges
 
-#: Characters of a shingle, hashes by band, bands, least Jaccard similarity and least characters of a line that counts.
+#: Characters of a shingle, hashes by band, bands, least Jaccard similarity, and characters from which lines may be similar
+#: without being equal.
 SHINGLE, BAND_ROWS, BANDS, THRESHOLD, MIN_CHARS = 9, 4, 8, 0.75, 20
 #: Sketches of unrelated lines differ in 32 of 64 bits on average, of lines at the threshold in 8.
 SKETCH_LIMIT = 18
+#: Lines and characters of a group that one task compares; larger groups are compared in parts.
+PART_LINES, PART_CHARS = 2048, 1 << 21
 _MULT = (mix(np.arange(1, 1 + BAND_ROWS * BANDS, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -100,25 +103,29 @@ def bands(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, np.bitwise_or.reduce(two << shift, axis=1)
 
 
-def positions(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(h, doc_id, line_no) of all lines that count, of documents with an id."""
+def positions(docs: DataFrame) -> DataFrame:
+    """(h, doc_id, line_no, size) of all lines with a character, of documents with an id."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
             for lo, hi in slices(b.column(1)):
-                x = Lines(b.column(1).slice(lo, hi - lo), min_chars)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(x.hash)), pa.array(ids[lo:hi][x.row]), pa.array(x.number.astype(np.int32))], names=["h", "doc_id", "line_no"])
+                x = Lines(b.column(1).slice(lo, hi - lo), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(x.hash)), pa.array(ids[lo:hi][x.row]), pa.array(x.number.astype(np.int32)), pa.array((x.end - x.start).astype(np.int32))], names=["h", "doc_id", "line_no", "size"])
 
-    return narrow(docs, "doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(part, "h long, doc_id long, line_no int")
+    return narrow(docs, "doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(part, "h long, doc_id long, line_no int, size int")
 
 
-def candidate_edges(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Pairs (x, y) of line hashes that share a band and have near sketches."""
+def candidates(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(g, h): groups of line hashes in which, by shared bands and near sketches, lines may be similar.
+
+    A group is what near sketches connect within a band's bucket; its name comes from its members, so that the same
+    group in several bands is compared once. A bucket too long for one task is one group.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64)
         for b in batches:
-            seen = np.zeros(0, np.uint64)
             for lo, hi in slices(b.column(0)):
                 x = Lines(b.column(0).slice(lo, hi - lo), min_chars)
                 h, at = np.unique(x.hash, return_index=True)
@@ -126,6 +133,8 @@ def candidate_edges(docs: DataFrame, min_chars: int) -> DataFrame:
                 h, at = h[new], at[new]
                 if not len(h):
                     continue
+                if len(seen) > 1_000_000:  # only a memory of what was emitted; repetitions are dropped later
+                    seen = seen[:0]
                 seen = np.concatenate([seen, h])
                 at = np.sort(at)
                 h = x.hash[at]
@@ -136,168 +145,191 @@ def candidate_edges(docs: DataFrame, min_chars: int) -> DataFrame:
     rows = rows.repartition("key").sortWithinPartitions("key", "h")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_runs(batches, ("key",)):
+        for t, open_, more in runs(batches, ("key",)):
             key, h, sketch = (t[c].to_numpy() for c in ("key", "h", "sketch"))
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
             key, h, sketch = key[new], h[new], sketch[new]
-            x, y = run_edges(key, h, sketch.view(np.uint64)[:, None], SKETCH_LIMIT)
-            u = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(u[:, 0])), pa.array(np.ascontiguousarray(u[:, 1]))], names=["x", "y"])
-
-    return rows.mapInArrow(compare, "x long, y long")
-
-
-def exact_groups(root: np.ndarray, h: np.ndarray, texts: pa.Array, threshold: float, k: int = SHINGLE) -> np.ndarray:
-    """For each line (sorted by root) the least hash in its component of the graph of pairs, within a root, whose exact
-    shingle sets have a Jaccard similarity of threshold or more.
-
-    All roots advance together: each compares one line of a growing component with the lines that have none yet.
+            g = mix(key.view(np.uint64))
+            if not (open_ or more):
+                x, y = run_edges(key, sketch.view(np.uint64)[:, None], SKETCH_LIMIT)
+                at = np.unique(np.concatenate([x, y]))
+                lab = labels(len(key), x, y)[at]
+                at = at[np.argsort(lab, kind="stable")]
+                lab = np.sort(lab)
+                first = np.flatnonzero(np.concatenate([[True], lab[1:] != lab[:-1]])) if len(lab) else at
+                h = h[at]
+                g = np.repeat(mix(np.add.reduceat(mix(h.view(np.uint64)), first)), np.diff(np.append(first, len(h)))) if len(h) else h.view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(g)), pa.array(h)], names=["g", "h"])
+
+    return rows.mapInArrow(compare, "g long, h long").distinct()
+
+
+def connect(group: np.ndarray, root: np.ndarray, texts: pa.Array, threshold: float, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places whose exact shingle sets have a Jaccard similarity of threshold or more.
+
+    Within each group (sorted) they connect what all such pairs of the group would connect, given that lines of one root
+    are connected already: a walk compares each line of a growing component with the lines that have none yet.
     """
     x = Lines.__new__(Lines)
     x.cp, offs = codepoints(texts)
     x.start, x.end = offs[:-1], offs[1:]
     x.p, x.inv = prefix_hash(x.cp)
-    n = len(h)
-    sh, first = x.shingles(np.arange(n), k)
-    line = np.repeat(np.arange(n), np.diff(first))
-    order = np.lexsort((sh, line))
-    sh = sh[order]
-    new = np.ones(len(sh), bool)
-    new[1:] = (sh[1:] != sh[:-1]) | (line[1:] != line[:-1])
-    sh, line = sh[new], line[new]
-    size = np.bincount(line, minlength=n)
-    first = np.concatenate([[0], np.cumsum(size)])
-    comp = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])]) if n else np.zeros(0, np.int64)
-    tagged = mix(sh ^ mix(comp[line].astype(np.uint64)))
-    # lines whose shingles are common in their component come first: they are like many, so that few rounds are needed
-    central = np.zeros(n)
-    big = np.bincount(comp, minlength=1)[comp] > 3 if n else np.zeros(0, bool)
-    if big.any():
-        of = big[line]
-        t, c = np.unique(tagged[of], return_counts=True)
-        central = np.bincount(line[of], weights=c[np.searchsorted(t, tagged[of])], minlength=n) / np.maximum(size, 1)
-    group = np.full(n, -1, np.int64)
-    queue: dict[int, list[tuple[float, int]]] = {}
-    open_ = np.lexsort((-central, comp))  # by component, the most central line first
-    while len(open_):
-        lead = np.concatenate([[True], comp[open_][1:] != comp[open_][:-1]])
-        ask = []
-        for c, i in zip(comp[open_[lead]].tolist(), open_[lead].tolist()):
-            q = queue.setdefault(c, [])
-            if not q:
-                group[i] = i
-                ask.append(i)
-            else:
-                ask.append(heapq.heappop(q)[1])
-        ask = np.array(ask)
-        open_ = open_[group[open_] < 0]
-        if not len(open_):
-            break
-        asker = np.full(int(comp[-1]) + 1, -1)
-        asker[comp[ask]] = ask
-        a = asker[comp[open_]]
-        # sets whose sizes differ too much can't be similar
-        may = (a >= 0) & (np.minimum(size[open_], size[a]) >= threshold * np.maximum(size[open_], size[a]))
-        try_, a = open_[may], a[may]
-        if not len(try_):
-            continue
-        need = np.unique(a)
-        q = np.sort(np.concatenate([tagged[first[i] : first[i + 1]] for i in need]))
-        t = tagged[np.repeat(first[try_], size[try_]) + _ranges(size[try_])]
-        hit = q[np.searchsorted(q, t).clip(max=len(q) - 1)] == t
-        inter = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size[try_])[:-1]]), dtype=np.int64)
-        ok = inter >= threshold * (size[try_] + size[a] - inter)
-        for i, j in zip(try_[ok].tolist(), a[ok].tolist()):
-            group[i] = group[j]
-            heapq.heappush(queue[int(comp[i])], (-central[i], i))
-        open_ = open_[group[open_] < 0]
-    least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, h)
-    return least[group]
-
-
-def _ranges(size: np.ndarray) -> np.ndarray:
-    first = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
-    return np.arange(int(size.sum())) - np.repeat(first, size)
-
-
-def similar_lines(docs: DataFrame, where: DataFrame, threshold: float, min_chars: int) -> DataFrame:
-    """(h, g): line hashes in a component of two or more similar lines, and the component's least hash.
-
-    Candidates are joined by union-find before any text is moved; then each candidate line's text goes once to its
-    component's task, where exact similarities split the component. where is a checkpointed positions().
+    n = len(group)
+    flat, first = x.shingles(np.arange(n), k)
+    sets = []
+    for a, b in zip(first[:-1], first[1:]):
+        v = np.sort(flat[a:b])
+        sets.append(v[np.concatenate([[True], v[1:] != v[:-1]])])
+    size = np.array([len(v) for v in sets])
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    border = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if n else [0]
+    for lo, hi in zip(border[:-1], border[1:]):
+        rest = np.arange(lo, hi)
+        while len(rest) > 1:
+            same = root[rest] == root[rest[0]]
+            queue, rest = rest[same].tolist(), rest[~same]
+            while queue and len(rest):
+                i = queue.pop()
+                # sets whose sizes differ too much can't be similar
+                may = rest[np.minimum(size[rest], size[i]) >= threshold * np.maximum(size[rest], size[i])]
+                for step in np.array_split(may, 1 + int(size[may].sum()) // 2_000_000):
+                    if not len(step):
+                        continue
+                    v = np.concatenate([sets[j] for j in step.tolist()])
+                    at = np.searchsorted(sets[i], v)
+                    at[at == size[i]] = 0
+                    inter = np.add.reduceat(sets[i][at] == v, np.cumsum(size[step]) - size[step], dtype=np.int64)
+                    hit = step[inter >= threshold * (size[i] + size[step] - inter)]
+                    if len(hit):
+                        out_a.append(np.full(len(hit), i))
+                        out_b.append(hit)
+                        joined = np.isin(root[rest], root[hit])
+                        queue.extend(rest[joined].tolist())
+                        rest = rest[~joined]
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def verified(docs: DataFrame, members: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
+    """Edges (x, y) of line hashes with similar shingle sets, of groups members (g, part, h, root).
+
+    first has (h, p.doc_id, p.line_no), a place of each line; each text goes from there to all its groups.
     """
-    c = components(candidate_edges(docs, min_chars))
-    rep = where.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("p"))
-    want = cut(c.join(rep, c["node"] == rep["h"]).select(F.col("p.doc_id").alias("id"), F.col("p.line_no").alias("line_no"), "h", "root"))
-    by_doc = want.groupBy("id").agg(F.collect_list(F.struct("line_no", "h", "root")).alias("want"))
+    by_line = members.groupBy(F.col("h").alias("__h")).agg(F.collect_list(F.struct("g", "part", "root")).alias("to"))
+    want = cut(by_line.join(first, F.col("__h") == F.col("h")).select(F.col("p.doc_id").alias("id"), "h", "to"))
+    by_doc = want.groupBy("id").agg(F.collect_list(F.struct("h", "to")).alias("want"))
     d = narrow(docs, "doc_id", "text").where("text is not null")
     d = possibly_with(d, "doc_id", want.select("id").distinct())
-    d = d.join(by_doc, d["doc_id"] == by_doc["id"]).select("text", F.col("want.h").alias("h"), F.col("want.root").alias("root"))
+    d = d.join(by_doc, d["doc_id"] == by_doc["id"]).select("text", F.col("want.h").alias("h"), F.col("want.to").alias("to"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, roots = b.column(1), b.column(2)
             for lo, hi in slices(b.column(0)):
-                x = Lines(b.column(0).slice(lo, hi - lo), min_chars)
-                first = np.searchsorted(x.row, np.arange(hi - lo + 1))
+                x = Lines(b.column(0).slice(lo, hi - lo), 1)
+                line = np.searchsorted(x.row, np.arange(hi - lo + 1))
                 hash_ = signed(x.hash)
-                out_r, out_h, out_t = [], [], []
+                out: list[tuple] = []
                 for i in range(hi - lo):
-                    of = dict(zip(hs[lo + i].as_py(), roots[lo + i].as_py()))
-                    for j in range(first[i], first[i + 1]):
-                        if (r := of.pop(int(hash_[j]), None)) is not None:
-                            out_r.append(r)
-                            out_h.append(int(hash_[j]))
-                            out_t.append(x.text(j))
-                yield pa.RecordBatch.from_arrays([pa.array(out_r, pa.int64()), pa.array(out_h, pa.int64()), pa.array(out_t, pa.string())], names=["root", "h", "text"])
-
-    lines = d.mapInArrow(fetch, "root long, h long, text string").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "root").sortWithinPartitions("root", "h")
+                    of = dict(zip(b.column(1)[lo + i].as_py(), b.column(2)[lo + i].as_py()))
+                    for j in range(line[i], line[i + 1]):
+                        h = int(hash_[j])
+                        if (to := of.pop(h, None)) is not None:
+                            text = x.text(j)
+                            out += [(t["g"], t["part"], h, t["root"], text) for t in to]
+                cols = list(zip(*out)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["g", "part", "h", "root", "text"])
+
+    lines = d.mapInArrow(fetch, "g long, part long, h long, root long, text string").repartition("g", "part").sortWithinPartitions("g", "part", "h")
+
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Without rows like the one before: a document that is there twice brings its lines twice."""
+        before = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = np.stack([b.column(i).to_numpy() for i in range(3)])
+            new = np.concatenate([[before is None or (at[:, 0] != before).any()], (at[:, 1:] != at[:, :-1]).any(0)])
+            before = at[:, -1]
+            yield b.filter(pa.array(new))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_runs(batches, ("root",)):
-            root, h = t["root"].to_numpy(), t["h"].to_numpy()
-            new = np.ones(len(h), bool)
-            new[1:] = (root[1:] != root[:-1]) | (h[1:] != h[:-1])  # a document that is there twice brings its lines twice
-            keep = pa.array(new)
+        for t, _, _ in runs(fresh(batches), ("g", "part")):
+            g, part, h, root = (t[c].to_numpy() for c in ("g", "part", "h", "root"))
             texts = t["text"].combine_chunks()
-            texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-            g = exact_groups(root[new], h[new], texts.filter(keep), threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(g)], names=["h", "g"])
+            chars = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+            begin = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (part[1:] != part[:-1])]))
+            # whole groups, so many at once as have about PART_CHARS characters
+            block = np.cumsum(chars)[begin] // PART_CHARS
+            cut_at = begin[np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))]
+            number = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(g))))
+            for lo, hi in zip(cut_at, np.append(cut_at[1:], len(g))):
+                x, y = connect(number[lo:hi], root[lo:hi], texts.slice(lo, hi - lo), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(h[lo:hi][x]), pa.array(h[lo:hi][y])], names=["x", "y"])
+
+    return lines.mapInArrow(verify, "x long, y long")
 
-    v = cut(lines.mapInArrow(verify, "h long, g long"))
-    return v.join(v.groupBy("g").count().where("count > 1").select("g"), "g").select("h", "g")
+
+def similar_lines(docs: DataFrame, first: DataFrame, threshold: float, min_chars: int) -> DataFrame:
+    """(h, root): line hashes in a component of two or more similar lines, and the component's least hash.
+
+    Candidate pairs are verified first, by exact Jaccard similarity of their shingle sets; union-find then joins the
+    verified edges. Groups too large for one task are split by hash, differently in each group, so that several bands
+    connect the parts; of a split group that is still in several components, every two parts are compared as well.
+    """
+    m = cut(candidates(docs, min_chars))
+    size = m.join(first.select("h", "size"), "h").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
+    parts = F.greatest(F.ceil(F.col("n") / PART_LINES), F.ceil(F.col("chars") / PART_CHARS))
+    large = cut(size.select(F.col("g").alias("__g"), parts.alias("parts")).where("parts > 1"))
+    some = not large.isEmpty()
+    m = m.withColumn("part", F.lit(0).cast("long"))
+    if some:
+        m = cut(m.join(large, F.col("g") == F.col("__g"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("g", "h"), F.col("parts")), F.col("part"))).select("g", "part", "h", "parts"))
+    edges = cut(verified(docs, m.select("g", "part", "h", F.col("h").alias("root")), first, threshold))
+    c = components(edges)
+    if some:
+        c = cut(c)
+        rest = m.where("parts > 1").join(c, F.col("h") == F.col("node"), "left").select("g", "part", "h", "parts", F.coalesce("root", "h").alias("root"))
+        open_ = rest.groupBy(F.col("g").alias("__g")).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("__g")
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        pairs = rest.join(open_, F.col("g") == F.col("__g"), "left_semi").withColumn("other", other).where("other <> part")
+        pair = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
+        more = cut(verified(docs, pairs.select("g", pair.alias("part"), "h", "root"), first, threshold))
+        c = components(edges.union(more))
+    return c.select(F.col("node").alias("h"), "root")
 
 
 def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line_no, h, keeper_doc, keeper_line) of every line that equals or resembles an earlier one.
 
-    Lines are compared in lower case with white space as one blank, if they then have at least min_chars characters.
-    Two are similar if their sets of 9-character shingles have a Jaccard similarity of at least threshold; of each
-    connected component the line with the least (doc_id, line_no) is kept, in this or in any other document.
+    Lines are compared in lower case with white space as one blank; blank ones don't count. Lines with at least
+    min_chars characters are similar if their sets of 9-character shingles have a Jaccard similarity of at least
+    threshold; shorter lines, however short, only if they are equal. Of each connected component the line with the least
+    (doc_id, line_no) is kept, in this or in any other document.
     """
     if min_chars < SHINGLE:
         raise ValueError(f"min_chars must be at least {SHINGLE}")
-    where = cut(positions(docs, min_chars))
-    near = similar_lines(docs, where, threshold, min_chars)
-    p = where.join(near, "h", "left").select("doc_id", "line_no", "h", F.coalesce("g", "h").alias("g"))
-    keep = p.groupBy("g").agg(F.min(F.struct("doc_id", "line_no")).alias("k"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    p = p.join(keep, "g").where("doc_id <> k.doc_id or line_no <> k.line_no")
+    where = cut(positions(docs))
+    first = cut(where.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("p"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size")))
+    near = similar_lines(docs, first, threshold, min_chars).toDF("__h", "g")
+    all_ = cut(first.join(near, F.col("h") == F.col("__h"), "left").select("h", "p", "n", "g"))
+    keep = all_.where("g is not null").groupBy(F.col("g").alias("__g")).agg(F.min("p").alias("k"))
+    alike = all_.join(keep, F.col("g") == F.col("__g")).select(F.col("h").alias("__h"), "k")
+    alike = cut(alike.union(all_.where("g is null and n > 1").select("h", "p")))
+    p = possibly_with(where, "h", alike.select("__h"))
+    p = p.join(alike, p["h"] == alike["__h"]).where("doc_id <> k.doc_id or line_no <> k.line_no")
     return p.select("doc_id", "line_no", "h", F.col("k.doc_id").alias("keeper_doc"), F.col("k.line_no").alias("keeper_line")).distinct()
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, drop_emptied: bool = False) -> DataFrame:
     """docs, all columns, without the lines that duplicate_lines() names; drop_emptied: nor documents left without text.
 
-    Rows with NULL text or NULL doc_id stay as they are, and so do empty texts and lines that are too short. Rows that
-    repeat an id are one document: a line that stays in one of them stays in all. Only documents that may lose a line
-    are shuffled.
+    Rows with NULL text or NULL doc_id stay as they are, and so do empty texts and blank lines. Rows that repeat an id
+    are one document: a line that stays in one of them stays in all. Only documents that may lose a line are shuffled.
     """
     gone = cut(duplicate_lines(docs, threshold, min_chars).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h")).alias("gone")))
     gone = gone.select(F.col("doc_id").alias("__sl_id"), F.col("gone.line_no").alias("__sl_n"), F.col("gone.h").alias("__sl_h"))
     s, old, at = shield(docs, "doc_id", "text")
-    touched = possibly_with(s, at["doc_id"], gone.select("__sl_id"))
+    clear, touched = split_by(s, at["doc_id"], gone.select("__sl_id"))
     touched = touched.join(gone, touched[at["doc_id"]] == gone["__sl_id"], "left").drop("__sl_id")
     place = s.columns.index(at["text"])
     names, width = s.columns, len(s.columns)
@@ -306,7 +338,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int =
         for b in batches:
             texts, new, keep = b.column(place), [], []
             for lo, hi in slices(texts):
-                x = Lines(texts.slice(lo, hi - lo), min_chars)
+                x = Lines(texts.slice(lo, hi - lo), 1)
                 first = np.searchsorted(x.row, np.arange(hi - lo + 1))
                 for i in range(hi - lo):
                     text, lines = texts[lo + i].as_py(), b.column(width)[lo + i].as_py()
@@ -321,5 +353,5 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int =
             cols = [b.column(i) if i != place else pa.array(new, b.column(i).type) for i in range(width)]
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
-    kept = certainly_without(s, at["doc_id"], gone.select("__sl_id"))
-    return kept.select(*s.columns).unionByName(touched.select(*s.columns, "__sl_n", "__sl_h").mapInArrow(rewrite, s.schema)).toDF(*old)
+    touched = touched.select(*s.columns, "__sl_n", "__sl_h").mapInArrow(rewrite, s.schema)
+    return (touched if clear is None else clear.select(*s.columns).unionByName(touched)).toDF(*old)
