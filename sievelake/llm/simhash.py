@@ -1,22 +1,36 @@
-"""Near-duplicate documents by 256-bit SimHash fingerprints and a self-tuning LSH forest."""
+"""Near-duplicate documents by 256-bit SimHash fingerprints and an LSH forest.
+
+Each try is a trie over randomly permuted bits. Where documents are sparse, short prefixes with few tries reach the target
+recall; where they are dense, longer prefixes with more tries do so with fewer comparisons. Each document chooses its own
+prefix depth from the density around it, and two documents are compared at the shorter of their depths, so that the
+recall at the largest distance holds for every pair, whatever the size of the corpus.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
+from ._runs import distance, labels, run_edges, runs
 from ._store import cut, drop_all, narrow, shield
 from ._text import Words, mix, slices
 
 BITS = 256
 #: Largest Hamming distance of near-duplicates: a cosine of about 0.87 between the sets of words.
 MAX_DISTANCE = 42
+#: Prefix depths between which documents choose.
+DEPTHS = (8, 12, 16, 20, 24, 28, 32)
+#: Tries in which density is counted, and the depth of those counts: fixed, so 0.5 MB whatever the corpus.
+PROBES, PROBE_DEPTH = 4, 14
+#: What planting a document in a try costs, in comparisons: a row of about 60 bytes is shuffled and sorted.
+PLANT_COST = 500
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
 _SEEDS = mix(np.arange(1, 5, dtype=np.uint64))
 
@@ -54,76 +68,75 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(on, axis=1, bitorder="little").view(np.uint64).reshape(n, 4), size
 
 
-def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
-
+def tries_for(depth: int, max_distance: int = MAX_DISTANCE, recall: float = 0.95) -> int:
+    """Tries after which two fingerprints at max_distance have shared a prefix of this depth with the given probability."""
+    p = math.prod((BITS - max_distance - i) / (BITS - i) for i in range(depth))
+    if p <= 0:
+        raise ValueError("max_distance is too large for this depth")
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-p))) if p < 1 else 1
 
-def forest_shape(n: int, same_bit: float, design: int = MAX_DISTANCE, recall: float = 0.95, per_doc: int = 500, most: int = 400) -> tuple[int, int]:
-    """Prefix depth and number of tries for n distinct fingerprints.
 
-    Starting at the deepest prefix that one 64-bit key holds, climb to shorter ones until the tries needed for the
-    target recall at the design distance compare each document with about per_doc others: denser corpora get deeper
-    prefixes and more tries. same_bit is the probability that a bit of two unrelated documents agrees.
-    """
-    shape = (1, 1)
-    for depth in range(60, 0, -1):
-        p = math.prod((BITS - design - i) / (BITS - i) for i in range(depth))
-        tries = max(1, math.ceil(math.log(1 - recall) / math.log1p(-p)))
-        shape = depth, tries
-        if tries <= most and n * same_bit**depth / 2 * tries >= per_doc or tries == 1:
-            break
-    return shape
-
-
-def forest_keys(prints: np.ndarray, depth: int, tries: int) -> np.ndarray:
-    """The first depth bits of each try's random permutation, as keys (rows, tries); the permutations are fixed."""
-    rng = np.random.default_rng(20240229)
+def trie_keys(prints: np.ndarray, tries: range, depth: int) -> np.ndarray:
+    """The first depth bits of each try's random permutation, as numbers (rows, tries); the permutations are fixed."""
     bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), 32), axis=1, bitorder="little")
-    out = np.zeros((len(prints), tries), np.int64)
-    for t in range(tries):
-        chosen = rng.permutation(BITS)[:depth]
-        b = bits[:, chosen]
+    bits = np.ascontiguousarray(bits.T)
+    out = np.zeros((len(prints), len(tries)), np.int64)
+    for i, t in enumerate(tries):
         k = np.zeros(len(prints), np.int64)
-        for j in range(depth):
-            k = (k << 1) | b[:, j]
-        out[:, t] = k
+        for j in _permutation(t)[:depth].tolist():
+            k <<= 1
+            k |= bits[j]
+        out[:, i] = k
     return out
 
 
-def run_edges(key: np.ndarray, ids: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with equal keys (sorted) whose fingerprints differ in at most limit bits.
+@lru_cache(maxsize=4096)
+def _permutation(t: int) -> np.ndarray:
+    return np.random.default_rng([20240229, t]).permutation(BITS)
+
+
+def choose_depths(cells: np.ndarray, depths: tuple[int, ...], tries: list[int]) -> np.ndarray:
+    """Place in depths of each document's own depth, given the documents in its cells at the depths 0 to PROBE_DEPTH.
 
-    Runs of up to 48 rows: all pairs. Longer runs: a walk that compares each member of a component only with rows that
-    no component has yet, which connects exactly what all pairs would connect.
+    From the deepest prefix it climbs to shorter ones as long as the fewer tries save more than the fuller cells cost.
+    Below the counted depths, a cell thins out as it does above them.
     """
-    n = len(key)
-    border = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=-1) if key.ndim > 1 else key[1:] != key[:-1], [True]]))
-    length = np.diff(border)
-    a_out, b_out = [], []
-    small = np.repeat(length <= 48, length)
-    left = np.repeat(border[1:], length) - np.arange(n)  # rows to the run's end
-    for s in range(1, min(48, int(length.max(initial=1)))):
-        i = np.flatnonzero(small & (left > s))
-        if not len(i):
-            break
-        ok = distance(prints[i], prints[i + s]) <= limit
-        a_out.append(ids[i[ok]])
-        b_out.append(ids[i[ok] + s])
-    for k in np.flatnonzero(length > 48):
-        rest = np.arange(border[k], border[k + 1])
-        while len(rest) > 1:
-            queue, rest = [rest[0]], rest[1:]
-            while queue and len(rest):
-                x = queue.pop()
-                ok = distance(prints[rest], prints[x]) <= limit
-                hit = rest[ok]
-                a_out.append(np.full(len(hit), ids[x]))
-                b_out.append(ids[hit])
-                queue.extend(hit.tolist())
-                rest = rest[~ok]
-    if not a_out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(a_out), np.concatenate(b_out)
+    last = cells[:, PROBE_DEPTH]
+    thin = np.clip((last / np.maximum(cells[:, PROBE_DEPTH - 4], 1)) ** 0.25, 0.5, 0.95)
+    cost = [t * (PLANT_COST + (cells[:, d] if d <= PROBE_DEPTH else last * thin ** (d - PROBE_DEPTH)) / 2) for d, t in zip(depths, tries)]
+    return np.argmin(np.stack(cost), axis=0)
+
+
+def density(prints: DataFrame) -> np.ndarray:
+    """(PROBES, 2**PROBE_DEPTH): documents by prefix, over all of prints (doc_id, a, b, c, d)."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PROBES << PROBE_DEPTH, np.int64)
+        for b in batches:
+            k = trie_keys(_prints(b), range(PROBES), PROBE_DEPTH) + (np.arange(PROBES) << PROBE_DEPTH)
+            total += np.bincount(k.ravel(), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
+
+    out = np.zeros(PROBES << PROBE_DEPTH, np.int64)
+    for r in prints.mapInArrow(part, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["at"]] = r["n"]
+    return out.reshape(PROBES, -1)
+
+
+def own_depths(prints: np.ndarray, counts: np.ndarray, depths: tuple[int, ...], tries: list[int]) -> np.ndarray:
+    """Place in depths of each fingerprint's own depth, from density()."""
+    k = trie_keys(prints, range(PROBES), PROBE_DEPTH)
+    cells = np.zeros((len(prints), PROBE_DEPTH + 1))
+    for d in range(PROBE_DEPTH + 1):
+        sums = counts.reshape(PROBES, 1 << d, -1).sum(2)
+        for t in range(PROBES):
+            cells[:, d] += sums[t][k[:, t] >> (PROBE_DEPTH - d)]
+    return choose_depths(cells / PROBES, depths, tries)
+
+
+def _prints(b: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([b[c].to_numpy() for c in "abcd"], axis=1).view(np.uint64)
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
@@ -141,74 +154,73 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     return narrow(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(part, "doc_id long, a long, b long, c long, d long")
 
 
-def edges(prints: DataFrame, max_distance: int = MAX_DISTANCE, recall: float = 0.95, design: int | None = None) -> DataFrame:
+def edges(prints: DataFrame, max_distance: int = MAX_DISTANCE, recall: float = 0.95) -> DataFrame:
     """Verified pairs (x, y) of ids that connect near-duplicates; prints is a checkpointed fingerprint_table().
 
     Documents with one fingerprint are joined to the least id, and only that id enters the forest. The recall holds for
-    pairs at the design distance, which is max_distance unless it is given; nearer pairs are found more often.
+    each pair at max_distance; nearer pairs are found more often. A cell of over a million documents is compared in
+    pieces, each with all later ones by what covers it to within a quarter of max_distance.
     """
     fp = ["a", "b", "c", "d"]
-    low = F.min("doc_id").over(Window.partitionBy(*fp))
-    same = cut(prints.select("doc_id", *fp, low.alias("low")))
-    heads = same.where("doc_id = low").dropDuplicates(["doc_id", *fp]).drop("low")
-    n = max(1, heads.count())
-    # agreement of a bit of two unrelated documents: p^2 + (1-p)^2, averaged over the bits
-    ones = heads.agg(*(F.avg(F.getbit(c, F.lit(i)).cast("double")).alias(f"{c}{i}") for c in fp for i in range(64))).first()
-    p = np.array([x if x is not None else 0.5 for x in ones])
-    same_bit = float(np.sqrt(np.mean((p**2 + (1 - p) ** 2) ** 2)))
-    depth, tries = forest_shape(n, same_bit, design or max_distance, recall)
+    heads = cut(prints.groupBy(*fp).agg(F.min("doc_id").alias("doc_id")).select("doc_id", *fp))
+    counts = prints.sparkSession.sparkContext.broadcast(density(heads))
+    depths = tuple(d for d in DEPTHS if d <= BITS - max_distance)
+    tries = [tries_for(d, max_distance, recall) for d in depths]
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = own_depths(_prints(b), counts.value, depths, tries)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int8))], names=[*b.schema.names, "own"])
+
+    settled = cut(heads.mapInArrow(settle, "doc_id long, a long, b long, c long, d long, own byte"))
+    used = sorted(r["own"] for r in settled.select("own").distinct().collect())  # at most as many as DEPTHS
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            own = b["own"].to_numpy()
             for lo in range(0, b.num_rows, 20_000):
-                s = b.slice(lo, 20_000)
-                m = s.num_rows
-                prints = np.stack([s.column(i).to_numpy() for i in range(1, 5)], axis=1).view(np.uint64)
-                keys = forest_keys(prints, depth, tries)
-                take = pa.array(np.tile(np.arange(m), tries))
-                cols = [pa.array(np.repeat(np.arange(tries, dtype=np.int32), m)), pa.array(keys.T.ravel()), *(s.column(i).take(take) for i in range(5))]
-                yield pa.RecordBatch.from_arrays(cols, names=["try", "key", "doc_id", *fp])
-
-    planted = heads.select("doc_id", *fp).mapInArrow(plant, "try int, key long, doc_id long, a long, b long, c long, d long")
-    # a key that one document has needs no comparison, but finding that out costs what comparing costs
-    planted = planted.repartition(F.col("try"), F.col("key")).sortWithinPartitions("try", "key")
+                # a document is in the cells of its own depth, and in those of each shorter depth that others have
+                for u in used:
+                    at = lo + np.flatnonzero(own[lo : lo + 20_000] >= u)
+                    if not len(at):
+                        continue
+                    s = b.take(pa.array(at))
+                    prints = _prints(s)
+                    for first in range(0, tries[u], 32):
+                        some = range(first, min(first + 32, tries[u]))
+                        # a cell's name: its prefix, with a one before it, and its try
+                        name = mix(mix(np.array(some, np.uint64)) ^ (trie_keys(prints, some, depths[u]) | 1 << depths[u]).view(np.uint64))
+                        take = pa.array(np.tile(np.arange(len(at)), len(some)))
+                        cols = [pa.array(np.ascontiguousarray(name.T).ravel().view(np.int64)), pa.array(np.tile(own[at] == u, len(some))), *(s[c].take(take) for c in ("doc_id", *fp))]
+                        yield pa.RecordBatch.from_arrays(cols, names=["cell", "ask", "doc_id", *fp])
+
+    planted = settled.mapInArrow(plant, "cell long, ask boolean, doc_id long, a long, b long, c long, d long")
+    # a cell that one document has needs no comparison, but finding that out costs what comparing costs
+    planted = planted.repartition("cell").sortWithinPartitions("cell")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in _whole_runs(batches):
-            rest = b
-            key = np.stack([rest["try"].to_numpy().astype(np.int64), rest["key"].to_numpy()], axis=1)
-            prints = np.stack([rest[c].to_numpy() for c in fp], axis=1).view(np.uint64)
-            x, y = run_edges(key, rest["doc_id"].to_numpy(), prints, max_distance)
+        cover: list[np.ndarray] = []
+        for t, open_, more in runs(batches, ("cell",)):
+            cell, ids, ask, prints = t["cell"].to_numpy(), t["doc_id"].to_numpy(), t["ask"].to_numpy(), _prints(t)
+            if open_ and cover:
+                cell = np.concatenate([np.repeat(cell[:1], len(cover[0])), cell])
+                ids, ask, prints = (np.concatenate([c, v]) for c, v in zip(cover, (ids, ask, prints)))
+            x, y = run_edges(cell, prints, max_distance, ask)
+            cover = []
+            if more:
+                lab, rest, keep = labels(len(ids), x, y), np.arange(len(ids)), []
+                while len(rest):
+                    keep.append(rest[0])
+                    rest = rest[(lab[rest] != lab[rest[0]]) | (distance(prints[rest], prints[rest[0]]) > max_distance // 4)]
+                cover = [v[keep] for v in (ids, ask, prints)]
+            x, y = ids[x], ids[y]
             u = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(u[:, 0])), pa.array(np.ascontiguousarray(u[:, 1]))], names=["x", "y"])
 
     near = planted.mapInArrow(compare, "x long, y long")
-    return near.union(same.where("doc_id <> low").select("doc_id", "low"))
-
-
-def _whole_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("try", "key")) -> Iterator[pa.Table]:
-    """Sorted batches again, cut so that no run of equal keys is split."""
-    kept: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        last = np.ones(b.num_rows, bool)
-        for k in keys:
-            v = b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
-            last &= v == v[-1]
-        start = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-        if start:
-            yield pa.Table.from_batches([*kept, b.slice(0, start)]).combine_chunks()
-            kept = []
-        elif kept:
-            same = all(kept[-1].column(i := kept[-1].schema.get_field_index(k))[-1].as_py() == b.column(i)[-1].as_py() for k in keys)
-            if not same:
-                yield pa.Table.from_batches(kept).combine_chunks()
-                kept = []
-        kept.append(b.slice(start))
-    if kept:
-        yield pa.Table.from_batches(kept).combine_chunks()
+    low = heads.select(F.col("doc_id").alias("low"), *(F.col(c).alias(f"_{c}") for c in fp))
+    same = prints.join(low, [F.col(c) == F.col(f"_{c}") for c in fp]).select("doc_id", "low")
+    return near.union(same).where("x <> y")
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, recall: float = 0.95) -> DataFrame:
@@ -219,8 +231,7 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, recall: f
     in no group. Rows that repeat an id are one document; with different texts, it is near to whatever either is near to.
     """
     prints = cut(fingerprint_table(docs).distinct())
-    c = components(edges(prints, max_distance, recall))
-    return c.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("root"))).where("n > 1").select(F.col("node").alias("doc_id"), F.col("root").alias("keeper"))
+    return components(edges(prints, max_distance, recall)).select(F.col("node").alias("doc_id"), F.col("root").alias("keeper"))
 
 
 def without_near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, recall: float = 0.95) -> DataFrame:

@@ -1,34 +1,90 @@
-"""The forest reaches its recall at the largest distance of near-duplicates, however many documents there are."""
+"""The forest reaches its recall at the largest distance of near-duplicates, and its depths follow the density."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sievelake.llm import simhash
+from sievelake.llm import _runs, simhash
 
+TRIES = [simhash.tries_for(d) for d in simhash.DEPTHS]
 
-@pytest.mark.parametrize("n", [10_000, 1_000_000, 10_000_000])
-def test_recall_by_distance(n):
-    depth, tries = simhash.forest_shape(n, 0.523)
-    rng = np.random.default_rng(n)
-    a = rng.integers(0, 1 << 63, (1500, 4), dtype=np.uint64)
+
+def flipped(rng, prints: np.ndarray, bits: int) -> np.ndarray:
+    flips = np.zeros((len(prints), simhash.BITS), np.uint8)
+    np.put_along_axis(flips, rng.permuted(np.tile(np.arange(simhash.BITS), (len(prints), 1)), axis=1)[:, :bits], 1, axis=1)
+    return prints ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+
+
+def counts(prints: np.ndarray) -> np.ndarray:
+    k = simhash.trie_keys(prints, range(simhash.PROBES), simhash.PROBE_DEPTH)
+    return np.stack([np.bincount(k[:, t], minlength=1 << simhash.PROBE_DEPTH) for t in range(simhash.PROBES)])
+
+
+@pytest.mark.parametrize("times", [1, 1_000, 100_000])
+def test_recall_at_every_corpus_size(times):
+    rng = np.random.default_rng(times)
+    a = rng.integers(0, 1 << 63, (20_000, 4), dtype=np.uint64)
+    # of half of them, 100 of 256 bits are as in one text, so that they crowd in one region
+    mask = np.packbits(np.arange(256) < 100, bitorder="little").view(np.uint64)
+    a[::2] = (a[0] & mask) | (a[::2] & ~mask)
+    n = counts(a) * times
+    own = simhash.own_depths(a, n, simhash.DEPTHS, TRIES)
+    assert np.mean(own[::2]) > np.mean(own[1::2]) or times != 1_000  # denser is deeper
+    some = rng.choice(len(a), 600, replace=False)
     for d in (29, 36, simhash.MAX_DISTANCE):
-        flips = np.zeros((len(a), simhash.BITS), np.uint8)
-        np.put_along_axis(flips, rng.permuted(np.tile(np.arange(simhash.BITS), (len(a), 1)), axis=1)[:, :d], 1, axis=1)
-        b = a ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
-        found = (simhash.forest_keys(a, depth, tries) == simhash.forest_keys(b, depth, tries)).any(1).mean()
-        assert found >= 0.9, (d, depth, tries, found)
+        b = flipped(rng, a[some], d)
+        meet = np.minimum(own[some], simhash.own_depths(b, n, simhash.DEPTHS, TRIES))
+        found = 0
+        for u in np.unique(meet):
+            at = meet == u
+            t = range(TRIES[u])
+            found += (simhash.trie_keys(a[some][at], t, simhash.DEPTHS[u]) == simhash.trie_keys(b[at], t, simhash.DEPTHS[u])).any(1).sum()
+        assert found >= 0.92 * len(some), (times, d, found)
+
+
+def test_larger_corpora_are_searched_deeper():
+    a = np.random.default_rng(1).integers(0, 1 << 63, (20_000, 4), dtype=np.uint64)
+    deep = [np.median(simhash.own_depths(a, counts(a) * t, simhash.DEPTHS, TRIES)) for t in (1, 100, 10_000)]
+    assert deep[0] < deep[1] < deep[2]
+
+
+@pytest.mark.parametrize("n", [500, 20_000])
+def test_edges_at_the_largest_distance(spark, n):
+    rng = np.random.default_rng(n)
+    a = rng.integers(0, 1 << 63, (n, 4), dtype=np.uint64)
+    b = flipped(rng, a[:400], simhash.MAX_DISTANCE)
+    t = np.concatenate([a, b]).view(np.int64)
+    d = spark.createDataFrame(pa.table({"doc_id": np.arange(len(t)), **{c: np.ascontiguousarray(t[:, i]) for i, c in enumerate("abcd")}}))
+    got = {(r["x"], r["y"]) for r in simhash.edges(d).collect()}
+    want = {(i, n + i) for i in range(400)}
+    assert got <= want and len(got) >= 0.92 * len(want)
 
 
-def test_edges_are_designed_for_the_largest_distance(docs_of_words, monkeypatch):
-    asked = []
-    shape = simhash.forest_shape
-    monkeypatch.setattr(simhash, "forest_shape", lambda n, same, design, recall: asked.append((design, recall)) or shape(n, same, design, recall))
-    simhash.near_duplicates(docs_of_words)
-    assert asked == [(simhash.MAX_DISTANCE, 0.95)]
+def test_pairs_of_a_run():
+    rng = np.random.default_rng(4)
+    for n in (5, 40, 200):
+        base = rng.integers(0, 1 << 63, (6, 4), dtype=np.uint64)
+        prints = flipped(rng, base[rng.integers(0, 6, n)], 20)
+        key, ask = np.sort(rng.integers(0, 2, n)), rng.random(n) < 0.6
+        x, y = _runs.run_edges(key, prints, simhash.MAX_DISTANCE, ask)
+        pairs = [(i, j) for i in range(n) for j in range(i) if key[i] == key[j] and (ask[i] or ask[j]) and simhash.distance(prints[i], prints[j]) <= simhash.MAX_DISTANCE]
+        want = _runs.labels(n, *np.array(pairs or np.zeros((0, 2), int)).T)
+        assert (_runs.labels(n, x, y) == want).all()
 
 
-@pytest.fixture
-def docs_of_words(spark):
-    return spark.createDataFrame([(1, "one two three four"), (2, "five six seven eight")], "doc_id long, text string")
+def test_long_runs_come_in_pieces():
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        k = np.sort(rng.integers(0, rng.integers(1, 8), rng.integers(1, 60)))
+        cuts = np.sort(rng.integers(0, len(k) + 1, 8))
+        batches = [pa.RecordBatch.from_arrays([pa.array(k[a:b]), pa.array(np.arange(a, b))], names=["k", "v"]) for a, b in zip([0, *cuts], [*cuts, len(k)])]
+        seen, before = [], None
+        for t, open_, more in _runs.runs(iter(batches), ("k",), 5):
+            here = t["k"].to_numpy()
+            assert not (open_ or more) or len(set(here)) == 1
+            assert open_ == (before is not None and before == here[0])
+            before = here[-1]
+            seen += t["v"].to_numpy().tolist()
+        assert seen == list(range(len(k)))
