@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import certainly_without, cut, narrow, new_folder, possibly_with
+from ._store import cut, forget, narrow, new_folder, possibly_with, split_by
 from ._text import slices
 
 
@@ -41,15 +41,24 @@ RULES = (
 )
 
 
+def _name(rule: Rule) -> str:
+    return f"{rule.name}:{rule.version}"
+
+
+def _names(rules: Sequence[Rule]) -> str:
+    return " ".join(map(_name, rules))
+
+
 class Ledger:
     """Two append-only Parquet tables in a shared folder: findings, and the scanned pairs of blob and rule version.
 
     A run writes its findings first; only then do the pairs count as scanned. A run that breaks off in between is done
-    again, and the repeated findings are one. Rows keep a blob as 32 bytes.
+    again, and the repeated findings are one. Rows keep a blob as 32 bytes, and its rules as a mask of bits of a list of
+    rule versions, of which there are few.
     """
 
     FINDINGS = "blob binary, rule string, rule_version int, secret string, masked string, first int, occurrences long"
-    SCANNED = "blob binary, rule string, rule_version int"
+    SCANNED = "blob binary, rules string, mask long"
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -67,6 +76,18 @@ class Ledger:
     def scanned(self) -> DataFrame:
         return self._read("scanned", self.SCANNED)
 
+    def done(self, rules: Sequence[Rule]) -> DataFrame:
+        """(blob, done): bit k says that the blob was scanned with rule k."""
+        t = self.scanned()
+        now, bit = {_name(r): k for k, r in enumerate(rules)}, F.lit(0).cast("long")
+        for (names,) in t.select("rules").distinct().collect():
+            same = F.lit(0).cast("long")
+            for k, name in enumerate(names.split(" ")):
+                if name in now:
+                    same = same.bitwiseOR(F.when(F.col("mask").bitwiseAND(1 << k) != 0, F.lit(1 << now[name])).otherwise(F.lit(0)).cast("long"))
+            bit = F.when(F.col("rules") == names, same).otherwise(bit)
+        return t.select("blob", bit.alias("bit")).groupBy("blob").agg(F.bit_or("bit").alias("done"))
+
     def append(self, findings: DataFrame, scanned: DataFrame) -> None:
         findings.write.mode("append").parquet(f"{self.folder}/findings")
         scanned.write.mode("append").parquet(f"{self.folder}/scanned")
@@ -97,16 +118,13 @@ def scan(versions: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RULES) ->
     blob; empty texts are a blob without findings; a NULL id or path stays NULL in the result; a row that is there
     twice is in the result twice. At most 62 rules.
     """
-    if len(rules) > 62:
-        raise ValueError("at most 62 rules")
+    if len(rules) > 62 or any(" " in _name(r) for r in rules):
+        raise ValueError("at most 62 rules, without blanks in their names")
     spark = versions.sparkSession
     v = narrow(versions, "doc_id", "path", "text").where("text is not null").withColumn("blob", F.unhex(F.sha2("text", 256)))
     v = v.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
     at = cut(v.select("doc_id", "path", "blob", "key"))
-    bit = F.lit(0).cast("long")
-    for k, r in enumerate(rules):
-        bit = F.when((F.col("rule") == r.name) & (F.col("rule_version") == r.version), F.lit(1 << k)).otherwise(bit)
-    done = ledger.scanned().select("blob", bit.alias("bit")).groupBy("blob").agg(F.bit_or("bit").alias("done"))
+    done = ledger.done(rules)
     every = (1 << len(rules)) - 1
     blobs = at.groupBy("blob").agg(F.min("key").alias("key"))
     todo = blobs.join(done, "blob", "left").withColumn("mask", F.lit(every).bitwiseAND(F.bitwise_not(F.coalesce("done", F.lit(0).cast("long")))))
@@ -115,10 +133,12 @@ def scan(versions: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RULES) ->
     whole = todo.where(F.col("mask") == every).select("blob", F.col("key").alias("whole_key"))
     unsure = cut(at.join(whole, "blob", "left").where("whole_key is null or key <> whole_key").select("key").distinct())
     text = v.select("key", "blob", "text")
-    direct = certainly_without(text, "key", unsure).withColumn("mask", F.lit(every).cast("long")).select("blob", "text", "mask")
-    rest = possibly_with(possibly_with(text, "key", unsure), "key", todo.select("key"))
+    direct, rest = split_by(text, "key", unsure)
+    rest = possibly_with(rest, "key", todo.select("key"))
     t = todo.select(F.col("blob").alias("todo_blob"), F.col("key").alias("todo_key"), "mask")
     rest = rest.join(t, (F.col("key") == F.col("todo_key")) & (F.col("blob") == F.col("todo_blob"))).select("blob", "text", "mask")
+    if direct is not None:
+        rest = direct.withColumn("mask", F.lit(every).cast("long")).select("blob", "text", "mask").unionByName(rest)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [re.compile(r.pattern) for r in rules]
@@ -127,13 +147,14 @@ def scan(versions: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RULES) ->
             blobs = b.column(0).take(pa.array([g[0] for g in got], pa.int64()))
             yield pa.RecordBatch.from_arrays([blobs, pa.array([rules[g[1]].name for g in got], pa.string()), pa.array([rules[g[1]].version for g in got], pa.int32()), pa.array([hashlib.sha256(g[2].encode("utf-8", "surrogatepass")).hexdigest() for g in got], pa.string()), pa.array([g[2][:4] for g in got], pa.string()), pa.array([g[3] for g in got], pa.int32()), pa.array([g[4] for g in got], pa.int64())], names=["blob", "rule", "rule_version", "secret", "masked", "first", "occurrences"])
 
-    pairs = todo.select("blob", F.explode(F.array(*(F.when(F.col("mask").bitwiseAND(1 << k) != 0, F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("rule_version"))) for k, r in enumerate(rules)))).alias("p")).where("p is not null").select("blob", "p.rule", "p.rule_version")
-    ledger.append(direct.unionByName(rest).mapInArrow(part, Ledger.FINDINGS), pairs)
+    ledger.append(rest.mapInArrow(part, Ledger.FINDINGS), todo.select("blob", F.lit(_names(rules)).alias("rules"), "mask"))
     current = spark.createDataFrame([(r.name, r.version) for r in rules], "rule string, rule_version int")
     found = ledger.findings().join(F.broadcast(current), ["rule", "rule_version"])
     return at.join(found, "blob").select("doc_id", "path", "rule", "rule_version", "secret", "masked", "first", "occurrences")
 
 
 def scan_fresh(spark: SparkSession, versions: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """scan() with a new, empty ledger in the shared folder."""
-    return scan(versions, Ledger(spark, new_folder(spark, "ledger")), rules)
+    """scan() with a new, empty ledger in the shared folder, which goes when the Python process ends."""
+    folder = new_folder(spark, "ledger")
+    forget(spark, folder)
+    return scan(versions, Ledger(spark, folder), rules)
