@@ -1,8 +1,13 @@
-"""Exact top-k inner products by norm buckets with per-bucket pruning."""
+"""Exact top-k inner products by norm buckets with per-bucket pruning.
+
+Vectors are grouped by length into blocks, longest first. Queries meet the blocks in rounds of growing width; after each
+round every query's k-th best product so far is the threshold by which later blocks, and rows in them, are left out.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +17,10 @@ from pyspark.sql import functions as F
 from ._store import cut, narrow
 
 BLOCK_BYTES = 1 << 20
+#: Bytes of blocks that a task of the grouping makes, at most; a round takes this many times the blocks of the one before.
+TASK_BYTES, WIDER = 1 << 26, 4
+#: Rows whose id is divisible by this are queries.
+EVERY = 100
 #: Error of a single-precision product, relative to the product of the lengths.
 SLACK = 2e-5
 #: Coordinate lists are used if they leave less than this part of a bucket.
@@ -22,30 +31,49 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten()).astype(np.float32).reshape(len(column), dim)
 
 
-def blocks(vectors: DataFrame, dim: int) -> DataFrame:
-    """Buckets of vectors of about equal length, longest first: (block, n, high, ids, data); data are float32 rows."""
-    rows = max(64, BLOCK_BYTES // (4 * dim))
-    v = vectors.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
-    n = v.count()
+def blocks(vectors: DataFrame) -> DataFrame:
+    """Vectors (vec_id, v) in blocks of one dimension and about equal length: (block, d, n, high, ids, data).
+
+    data are float32 rows, longest first, and high is the length of the longest.
+    """
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    v = vectors.withColumn("norm", norm).withColumn("d", F.size("v"))
+    total = v.agg(F.sum(F.col("d") * 4.0)).first()[0] or 0.0
+    wanted = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, round(total / TASK_BYTES), min(wanted, round(total / BLOCK_BYTES)))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         me, count = TaskContext.get().partitionId(), 0
-        ids, data = np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
-        for b in [*batches, None]:
-            if b is not None:
-                ids = np.concatenate([ids, b.column(0).to_numpy()])
-                data = np.concatenate([data, _matrix(b.column(1), dim)])
-            while len(ids) >= rows or (b is None and len(ids)):
-                x = data[:rows]
-                high = float(np.sqrt((x.astype(np.float64) ** 2).sum(1)).max())
-                yield pa.RecordBatch.from_arrays([pa.array([me * 1_000_000 + count]), pa.array([len(x)], pa.int32()), pa.array([high]), pa.array([ids[:rows].tobytes()]), pa.array([x.tobytes()])], names=["block", "n", "high", "ids", "data"])
-                ids, data, count = ids[rows:], data[rows:], count + 1
-
-    # twice as many ranges as blocks would leave half-filled blocks; a range holds about one
-    v = v.repartitionByRange(max(1, round(n / rows)), F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
-    return v.select("vec_id", "v").mapInArrow(part, "block long, n int, high double, ids binary, data binary")
+        ids, data = np.zeros(0, np.int64), np.zeros((0, 0), np.float32)
+
+        def block(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+            nonlocal count
+            count += 1
+            high = float(np.sqrt((x.astype(np.float64) ** 2).sum(1)).max())
+            return pa.RecordBatch.from_arrays([pa.array([(me << 32) + count]), pa.array([x.shape[1]], pa.int32()), pa.array([len(x)], pa.int32()), pa.array([high]), pa.array([ids.tobytes()]), pa.array([x.tobytes()])], names=["block", "d", "n", "high", "ids", "data"])
+
+        for b in batches:
+            dims = b.column(2).to_numpy()
+            for lo, hi in pairwise([0, *(np.flatnonzero(dims[1:] != dims[:-1]) + 1), len(dims)] if len(dims) else []):
+                dim = int(dims[lo])
+                if data.shape[1] != dim:
+                    if len(ids):
+                        yield block(ids, data)
+                    ids, data = ids[:0], np.zeros((0, dim), np.float32)
+                ids = np.concatenate([ids, b.column(0).slice(lo, hi - lo).to_numpy()])
+                data = np.concatenate([data, _matrix(b.column(1).slice(lo, hi - lo), dim)])
+                rows = max(64, BLOCK_BYTES // (4 * dim))
+                while len(ids) >= rows:
+                    yield block(ids[:rows], data[:rows])
+                    ids, data = ids[rows:], data[rows:]
+        if len(ids):
+            yield block(ids, data)
+
+    order = ["d", F.desc("norm"), "vec_id"]
+    v = v.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    return v.select("vec_id", "v", "d").mapInArrow(part, "block long, d int, n int, high double, ids binary, data binary")
 
 
 def search(q_ids: np.ndarray, q: np.ndarray, p_ids: np.ndarray, p: np.ndarray, k: int, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,58 +143,62 @@ def search(q_ids: np.ndarray, q: np.ndarray, p_ids: np.ndarray, p: np.ndarray, k
     return a[ok], b[ok], s[ok]
 
 
-def top_k(vectors: DataFrame, k: int = 10) -> DataFrame:
-    """(vec_id, rank, neighbour, score): for every vector the k others with the greatest inner products, exactly.
+def top_k(vectors: DataFrame, k: int = 10, every: int = EVERY) -> DataFrame:
+    """(vec_id, rank, neighbour, score): for every query the k other vectors with the greatest inner products, exactly.
 
-    vectors has vec_id and embedding. Score is rounded to six decimals; equal products rank by the lesser id. Left out
-    are rows with a NULL id or embedding, with a NULL or NaN coordinate, or of another than the most frequent dimension
-    (the greatest of equally frequent ones). Zero vectors take part, with products of 0. Of rows that repeat an id, the
-    first in the order of coordinates counts. With fewer than k others, there are as many rows as others.
+    vectors has vec_id and embedding; queries are the rows whose vec_id is divisible by `every`, and each is searched
+    among all rows of its dimension. Score is rounded to six decimals; equal products rank by the lesser id. Left out are
+    rows with a NULL id or embedding, without coordinates, or with one that is NULL, NaN or infinite. Zero vectors take
+    part, with products of 0. Of rows that repeat an id, the first in the order of coordinates counts. With fewer than k
+    others, there are as many rows as others.
     """
     v = narrow(vectors, "vec_id", "embedding").select("vec_id", F.col("embedding").cast("array<float>").alias("v"))
-    v = v.where("vec_id is not null and v is not null and not exists(v, x -> x is null or isnan(x))")
-    dims = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    empty = "vec_id long, rank int, neighbour long, score double"
-    if dims is None or dims["d"] == 0:
-        return vectors.sparkSession.createDataFrame([], empty)
-    dim = dims["d"]
-    v = v.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
-    b = cut(blocks(v, dim))
-    head = b.orderBy(F.desc("high"), "block").limit(1).select(F.col("ids").alias("head_ids"), F.col("data").alias("head_data"))
-
-    def load(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        i = np.frombuffer(ids, np.int64)
-        return i, np.frombuffer(data, np.float32).reshape(len(i), dim)
-
-    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The k-th best product of each query within its own bucket and the bucket of the longest vectors."""
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, q = load(r["ids"], r["data"])
-                theta = np.full(len(ids), -np.inf)
-                for x, y in {(r["ids"], r["data"]), (r["head_ids"], r["head_data"])}:
-                    a, _, s = search(ids, q, *load(x, y), k, theta)
-                    full = np.bincount(a, minlength=len(ids)) >= k
-                    last = np.searchsorted(a, np.flatnonzero(full), side="right") - 1
-                    theta[full] = np.maximum(theta[full], s[last])
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), pa.array([r["high"]]), pa.array([float(theta.min(initial=np.inf))]), pa.array([theta.tobytes()]), pa.array([r["ids"]]), pa.array([r["data"]])], names=["block", "high", "least", "theta", "ids", "data"])
-
-    # the bucket of the longest vectors has at most BLOCK_BYTES of data
-    seeded = cut(b.crossJoin(F.broadcast(head)).select("block", "high", "ids", "data", "head_ids", "head_data").mapInArrow(seed, "block long, high double, least double, theta binary, ids binary, data binary"))
-    left = seeded.select(F.col("block").alias("q_block"), F.col("high").alias("q_high"), "least")
-    pairs = left.join(b.select(F.col("block").alias("p_block"), F.col("high").alias("p_high")), F.expr("q_high * p_high * (1 + 1e-9) >= least"))
-    pairs = pairs.select("q_block", "p_block")
-    side = b.select(F.col("block").alias("p_block"), F.col("ids").alias("p_ids"), F.col("data").alias("p_data"))
-    work = pairs.join(seeded.select(F.col("block").alias("q_block"), "theta", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "q_block").join(side, "p_block")
+    v = v.where("vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('inf'))")
+    v = v.groupBy("vec_id").agg(F.min("v").alias("v"))
+    p = cut(blocks(v))
+    # one row for each block: its place among those of its dimension, longest first
+    place = p.select("block", "d", "high", (F.row_number().over(Window.partitionBy("d").orderBy(F.desc("high"), "block")) - 1).alias("place"))
+    place = cut(place.select("block", "d", "high", F.col("place").cast("long")))
+    last = place.agg(F.max("place")).first()[0]
+    q = cut(blocks(v.where(F.col("vec_id") % every == 0)).select(F.col("block").alias("q_block"), "d", "n", F.col("high").alias("q_high"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
-                (q_ids, q), (p_ids, p) = load(r["q_ids"], r["q_data"]), load(r["p_ids"], r["p_data"])
-                a, j, s = search(q_ids, q, p_ids, p, k, np.frombuffer(r["theta"], np.float64))
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(p_ids[j]), pa.array(s)], names=["vec_id", "neighbour", "s"])
-
-    found = work.select("theta", "q_ids", "q_data", "p_ids", "p_data").mapInArrow(meet, "vec_id long, neighbour long, s double")
+                q_ids, p_ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
+                q, x = (np.frombuffer(r[c], np.float32).reshape(-1, r["d"]) for c in ("q_data", "data"))
+                theta = np.full(len(q_ids), -np.inf)
+                if r["known"]:
+                    order = np.argsort(q_ids)
+                    theta[order[np.searchsorted(q_ids[order], [t["vec_id"] for t in r["known"]])]] = [t["theta"] for t in r["known"]]
+                a, j, s = search(q_ids, q, p_ids, x, k, theta)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), r["q_block"])), pa.array(q_ids[a]), pa.array(p_ids[j]), pa.array(s)], names=["q_block", "vec_id", "neighbour", "s"])
+
+    spark = vectors.sparkSession
+    top = spark.createDataFrame([], "q_block long, vec_id long, neighbour long, s double")
+    lo, width = 0, 1
+    while last is not None and lo <= last:
+        kth = top.groupBy("q_block", "vec_id").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("theta")).where(F.col("c") >= k)
+        known = kth.groupBy(F.col("q_block").alias("k_block")).agg(F.collect_list(F.struct("vec_id", "theta")).alias("known"), F.count(F.lit(1)).alias("full"), F.min("theta").alias("low"))  # at most a block's queries
+        state = q.join(known, F.col("q_block") == F.col("k_block"), "left").withColumn("least", F.when(F.col("full") >= F.col("n"), F.col("low")))
+        now = place.where((F.col("place") >= lo) & (F.col("place") < lo + width))
+        longest = now.groupBy(F.col("d").alias("_d")).agg(F.max("high").alias("longest"), F.min("place").alias("first"), F.max("place").alias("final"))
+        # a query block meets the round's blocks of its dimension; those that can't hold a better product are left out
+        pairs = state.select("q_block", "d", "q_high", "least").join(longest, F.col("d") == F.col("_d"))
+        pairs = pairs.where(F.col("least").isNull() | (F.col("q_high") * F.col("longest") * (1 + 1e-9) >= F.col("least")))
+        pairs = pairs.select("q_block", "d", "q_high", "least", F.explode(F.sequence("first", "final")).alias("at"))
+        here = now.select("block", F.col("d").alias("_d"), "high", "place")
+        pairs = pairs.join(here, (F.col("d") == F.col("_d")) & (F.col("at") == F.col("place")))
+        pairs = cut(pairs.where(F.col("least").isNull() | (F.col("q_high") * F.col("high") * (1 + 1e-9) >= F.col("least"))).select("q_block", "block"))
+        if pairs.isEmpty():  # later blocks are shorter still
+            break
+        work = pairs.toDF("w_block", "p_block").join(state, F.col("w_block") == F.col("q_block")).select("q_block", "q_ids", "q_data", "known", "p_block")
+        work = work.join(p, F.col("p_block") == F.col("block")).select("q_block", "d", "q_ids", "q_data", "known", "ids", "data")
+        found = top.union(work.mapInArrow(meet, "q_block long, vec_id long, neighbour long, s double"))
+        # at most k rows of a query come from each block
+        rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("s"), "neighbour"))
+        top = cut(found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"))
+        lo, width = lo + width, width * WIDER
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("s"), "neighbour"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour", F.round("s", 6).alias("score"))
+    return top.withColumn("rank", rank).select("vec_id", "rank", "neighbour", F.round("s", 6).alias("score"))
