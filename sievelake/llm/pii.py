@@ -99,7 +99,10 @@ def shape(token: str) -> str:
 
 
 def shape_features(s: str) -> list[str]:
-    """Features of a word shape: itself, without digit counts, without edge signs, its ends, and what it contains."""
+    """Features of a whole word shape: itself, without digit counts, without edge signs, its ends, and what it contains.
+
+    Numbers of digits from 20, of dots from 5 and of dashes from 4 on are one value each.
+    """
     core = s.strip(_TRIM)
     short = ""
     for c in core:
@@ -107,7 +110,7 @@ def shape_features(s: str) -> list[str]:
             short += c
     n = sum(c == "0" for c in s)
     kind = "".join(sorted(set(core)))
-    return [f"s={s[:40]}", f"core={core[:40]}", f"short={short[:40]}", f"kind={kind[:20]}", f"n={min(n, 20)}", f"first={s[:1]}", f"at={'@' in core and '.' in core.rpartition('@')[2]}", f"dots={min(core.count('.'), 5)}", f"dash={min(core.count('-'), 4)}", f"plain={not n and '@' not in s}"]
+    return [f"s={s}", f"core={core}", f"short={short}", f"kind={kind}", f"n={min(n, 20)}", f"first={s[:1]}", f"at={'@' in core and '.' in core.rpartition('@')[2]}", f"dots={min(core.count('.'), 5)}", f"dash={min(core.count('-'), 4)}", f"plain={not n and '@' not in s}"]
 
 
 @dataclass

@@ -1,7 +1,7 @@
 """Document quality by co-training of a text view and a metadata view.
 
-Two logistic regressions, one on what the text is like and one on what is known about the page, start from labels. In
-each round either one's confident verdicts on unlabelled documents join the other's training rows. In the end the two
+Two logistic regressions, one on the text's words and what it is like and one on what is known about the page, start from
+labels. In each round either one's confident verdicts on unlabelled documents join the other's training rows. In the end the two
 calibrated views are combined, and every document gets a score.
 """
 
@@ -17,19 +17,81 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut, narrow
+from ._store import cut, narrow, possibly_with
 from ._text import Words, codepoints, slices, spans, tables
 
 #: Buckets into which sources and languages are hashed.
 SOURCE_BUCKETS, LANG_BUCKETS = 32, 8
-TEXT_BASE = 16
+#: Buckets into which words are hashed.
+WORD_BUCKETS = 1 << 16
+TEXT_BASE = 18
 TEXT_DIM = 1 + 2 * TEXT_BASE
 META_DIM = 1 + 8 + LANG_BUCKETS + SOURCE_BUCKETS
 FOLDS = 5
 
 
-def text_view(texts: pa.Array) -> np.ndarray:
-    """(rows, TEXT_DIM): a constant, 16 measures of each whole text, and their squares. Empty and NULL texts are alike."""
+def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and hashes of each row's distinct words, and how often each occurs."""
+    order = np.lexsort((w.hash, w.row))
+    r, h = w.row[order], w.hash[order]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
+    return r[new], h[new], np.diff(np.append(np.flatnonzero(new), len(r)))
+
+
+def word_counts(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """(FOLDS, 2, WORD_BUCKETS + 1): labelled documents (label_id, y) by fold, label and hashed word; last, all of them.
+
+    Whole texts count, each word once. What reaches the driver has this fixed size.
+    """
+    width = WORD_BUCKETS + 1
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FOLDS * 2 * width, np.int64)
+        for b in batches:
+            kind = b.column(1).to_numpy() * 2 + (b.column(2).to_numpy() > 0)
+            for lo, hi in slices(b.column(0)):
+                r, h, _ = _distinct(Words(b.column(0).slice(lo, hi - lo)))
+                at = np.concatenate([kind[lo:hi][r] * width + _word_bucket(h), kind[lo:hi] * width + WORD_BUCKETS])
+                total += np.bincount(at, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
+
+    d = possibly_with(narrow(docs, "doc_id", "text").where("text is not null"), "doc_id", labels.select("label_id"))
+    d = d.join(labels, F.col("doc_id") == F.col("label_id")).select("text", _fold().alias("fold"), "y")
+    out = np.zeros(FOLDS * 2 * width, np.int64)
+    for r in d.mapInArrow(part, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["at"]] = r["n"]
+    return out.reshape(FOLDS, 2, width)
+
+
+def word_weights(counts: np.ndarray) -> np.ndarray:
+    """(FOLDS, WORD_BUCKETS): for documents of each fold, log-odds of words in good and bad documents of the others.
+
+    Fold 0 calibrates and never counts. A word that labelled documents don't have weighs nothing.
+    """
+    out = np.zeros((FOLDS, WORD_BUCKETS), np.float32)
+    for f in range(FOLDS):
+        c = counts[[g for g in range(1, FOLDS) if g != f]].sum(0).astype(float)
+        n = np.maximum(c[:, -1:], 1)
+        bad, good = c[:, :-1] / n + 2 / (n.sum() + 1)
+        out[f] = np.log(good / bad)
+    return out
+
+
+def _word_bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.int64) & (WORD_BUCKETS - 1)
+
+
+def _fold():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))
+
+
+def text_view(texts: pa.Array, weights: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """(rows, TEXT_DIM): a constant, 18 measures of each whole text, and their squares. Empty and NULL texts are alike.
+
+    Two of them are the mean weight of the distinct words, and their sum over the root of their number.
+    """
     n = len(texts)
     _, word, space = tables()
     w = Words(texts)
@@ -49,14 +111,11 @@ def text_view(texts: pa.Array) -> np.ndarray:
     some = np.maximum(words, 1)
     length = (w.end - w.start).astype(float)
     mean_len = np.bincount(w.row, weights=length, minlength=n) / some
-    order = np.lexsort((w.hash, w.row))
-    r, h = w.row[order], w.hash[order]
-    new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-    distinct = np.bincount(r[new], minlength=n)
-    run = np.diff(np.concatenate([np.flatnonzero(new), [len(r)]]))
+    r, h, run = _distinct(w)
+    distinct = np.bincount(r, minlength=n)
     top = np.zeros(n)
-    np.maximum.at(top, r[new], run)
+    np.maximum.at(top, r, run)
+    said = np.bincount(r, weights=weights[fold[r], _word_bucket(h)], minlength=n)
     same = np.zeros(len(w.hash))
     same[1:] = (w.hash[1:] == w.hash[:-1]) & (w.row[1:] == w.row[:-1])
     repeat = np.bincount(w.row, weights=same, minlength=n) / some
@@ -67,7 +126,7 @@ def text_view(texts: pa.Array) -> np.ndarray:
     doubled = np.zeros(len(cp), bool)
     doubled[1:] = sign[1:] & sign[:-1] & (cp[1:] == cp[:-1])
     upper = letter & (cp != w.cp)
-    x = np.stack([np.log1p(words), mean_len / 10, share(sign), share(sign & ~plain), share(doubled), share(upper), share(word[cp] & ~letter), share(space[cp]), share(cp == 124), distinct / some, top / some, repeat, np.log1p(line_len) / 5, np.log1p(lines), share(letter), np.log1p(np.diff(offs)) / 5], axis=1)
+    x = np.stack([np.log1p(words), mean_len / 10, share(sign), share(sign & ~plain), share(doubled), share(upper), share(word[cp] & ~letter), share(space[cp]), share(cp == 124), distinct / some, top / some, repeat, np.log1p(line_len) / 5, np.log1p(lines), share(letter), np.log1p(np.diff(offs)) / 5, said / np.maximum(distinct, 1), said / np.sqrt(np.maximum(distinct, 1))], axis=1)
     return np.concatenate([np.ones((n, 1)), x, x * x], axis=1)
 
 
@@ -88,18 +147,19 @@ def meta_view(lang: pa.Array, source: pa.Array, chars: pa.Array) -> np.ndarray:
     return np.concatenate([np.ones((n, 1)), pieces, np.eye(LANG_BUCKETS)[_bucket(lang, LANG_BUCKETS)], np.eye(SOURCE_BUCKETS)[_bucket(source, SOURCE_BUCKETS)]], axis=1)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, m): both views of every document."""
+def features(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(doc_id, t, m): both views of every document, given word_weights()."""
+    known = docs.sparkSession.sparkContext.broadcast(weights)  # 1.3 MB
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in slices(b.column(1)):
                 s = b.slice(lo, hi - lo)
-                t, m = text_view(s.column(1)), meta_view(s.column(2), s.column(3), s.column(4))
+                t, m = text_view(s.column(1), known.value, s.column(5).to_numpy()), meta_view(s.column(2), s.column(3), s.column(4))
                 cols = [pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), x.shape[1]).cast(pa.list_(pa.float32())) for x in (t, m)]
                 yield pa.RecordBatch.from_arrays([s.column(0), *cols], names=["doc_id", "t", "m"])
 
-    d = narrow(docs, "doc_id", "text", "lang", "source", "n_chars").select("doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double"))
+    d = narrow(docs, "doc_id", "text", "lang", "source", "n_chars").select("doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double"), _fold().alias("fold"))
     return d.mapInArrow(part, "doc_id long, t array<float>, m array<float>")
 
 
@@ -194,6 +254,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 20) -> np.ndarray:
     return w
 
 
+def exchange(said: list[View], y: np.ndarray, w: np.ndarray, free: np.ndarray, t: np.ndarray, m: np.ndarray, confident: float, weight: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(labels, weights) by which each view learns next: its own ones and, on free rows, the other's confident verdicts."""
+    out = []
+    for other, x in ((said[1], m), (said[0], t)):
+        p = sigmoid(other.logit(x))
+        sure = free & ((p >= confident) | (p <= 1 - confident))
+        out.append((np.where(sure, p > 0.5, y).astype(float), np.where(sure, weight, w)))
+    return out
+
+
 def fit(table: DataFrame, rounds: int = 3, steps: int = 4, confident: float = 0.97, weight: float = 0.3, ridge: float = 1e-4, max_calibration: int = 20_000) -> Model:
     """Co-train on a checkpointed table (doc_id, t, m, y), y NULL where there is no label.
 
@@ -201,7 +271,7 @@ def fit(table: DataFrame, rounds: int = 3, steps: int = 4, confident: float = 0.
     max_calibration, the least by hash, are gathered on the driver. A verdict with a calibrated probability of at least
     `confident`, either way, goes to the other view with the given weight.
     """
-    held = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0
+    held = _fold() == 0
     sums = _sums(table, lambda b: np.concatenate([[b.num_rows], *(y for x in _views(b, 1, 2) for y in (x.sum(0), (x * x).sum(0)))]))
     if not len(sums):
         sums = np.concatenate([[1.0], np.zeros(2 * (TEXT_DIM + META_DIM))])
@@ -233,14 +303,7 @@ def fit(table: DataFrame, rounds: int = 3, steps: int = 4, confident: float = 0.
         said = [View(v.weights.copy(), v.mean, v.scale, v.slope, v.intercept) for v in views]
 
         def target(b: pa.RecordBatch, t: np.ndarray, m: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-            y, w = labels(b)
-            free = ~b.column(3).is_valid().to_numpy(zero_copy_only=False)
-            out = []
-            for other, x in ((said[1], m), (said[0], t)):  # each view learns from the other
-                p = sigmoid(other.logit(x))
-                sure = free & ((p >= confident) | (p <= 1 - confident))
-                out.append((np.where(sure, p > 0.5, y).astype(float), np.where(sure, weight, w)))
-            return out
+            return exchange(said, *labels(b), ~b.column(3).is_valid().to_numpy(zero_copy_only=False), t, m, confident, weight)
 
         _newton(data, views, target, steps, ridge)
         calibrate()
@@ -253,15 +316,15 @@ def fit(table: DataFrame, rounds: int = 3, steps: int = 4, confident: float = 0.
 def quality(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """(doc_id, p_text, p_meta, score, keep) of every row of docs (doc_id, text, lang, source, n_chars).
 
-    labels has doc_id and quality (1 good, 0 bad). Rows with a NULL id or quality don't count; of repeated labels the
+    labels has doc_id and quality (positive is good). Rows with a NULL id or quality don't count; of repeated labels the
     highest does. NULL and empty texts, languages and sources are values of their own; a NULL size is 0; rows with a
     NULL id, and repeated rows, are scored like any. Without labels of both kinds every score is 0.5, and all are kept.
     """
-    y = narrow(labels, "doc_id", "quality").dropna().groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").cast("int").alias("y"))
-    x = features(docs)
+    y = cut(narrow(labels, "doc_id", "quality").dropna().groupBy(F.col("doc_id").alias("label_id")).agg((F.max("quality") > 0).cast("int").alias("y")))
+    x = features(docs, word_weights(word_counts(docs, y)))
     table = cut(x.join(y, x["doc_id"] == y["label_id"], "left").select("doc_id", "t", "m", "y"))
-    kinds = {r["y"] for r in table.where("y is not null").select("y").distinct().collect()}
-    if len(kinds) < 2:
+    kinds = table.agg(F.min("y"), F.max("y")).first()
+    if kinds[0] == kinds[1]:
         return table.select("doc_id", *(F.lit(0.5).alias(c) for c in ("p_text", "p_meta", "score")), F.lit(True).alias("keep"))
     model = fit(table, **params)
 

@@ -18,7 +18,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import narrow, new_folder, written
+from ._store import narrow, new_folder, shared_dir, written
+from ._text import slices
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -94,14 +95,19 @@ def masked_crc(parts: list[bytes]) -> np.ndarray:
     return ((out >> np.uint32(15)) | (out << np.uint32(17))) + np.uint32(0xA282EAD8)
 
 
+def ranks(path: str) -> bytes:
+    """The ranks of a byte-level tokenizer, read where the job starts; executors get them sent."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """The byte-level tokenizer whose ranks lie at path."""
+def encoder(data: bytes):
+    """The byte-level tokenizer of these ranks."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    found = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=found, special_tokens={})
 
 
 def serialize(doc_id: int | None, tokens: np.ndarray) -> bytes:
@@ -131,8 +137,31 @@ def unframe(records: list[bytes]) -> list[bytes]:
     return parts
 
 
+def resolved(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI that every executor opens alike.
+
+    A path without a scheme belongs to the default file system of the cluster, as for Spark itself. On a cluster, a local
+    path must lie in the shared folder of spark.checkpoint.dir. ValueError if it doesn't, or if no file system is known.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    p = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    scheme, _, rest = p.partition(":")
+    if scheme in ("s3a", "s3n"):
+        p = f"s3:{rest}"
+    elif scheme == "dbfs":
+        p = f"file:///dbfs/{rest.lstrip('/')}"
+    elif scheme == "file":
+        p = f"file:///{rest.lstrip('/')}"
+        master = spark.sparkContext.master
+        shared = shared_dir(spark) if not master.startswith("local") or master.startswith("local-cluster") else None
+        if shared is not None and not rest.lstrip("/").startswith(shared.partition(":")[2].lstrip("/") if shared.startswith("file:") else shared.lstrip("/")):
+            raise ValueError(f"{folder} is local, but not in the folder that all executors share")
+    pafs.FileSystem.from_uri(p)
+    return p
+
+
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+    return pafs.FileSystem.from_uri(folder)
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -141,12 +170,16 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> D
     Rows (shard, record, doc_id, offset, length, n_tokens). Index files hold the offset and length of each record as two
     8-byte integers. A file gets its name only when it is whole, and its content depends on the input alone, so a task
     that runs again, or twice, does no harm. NULL texts have no record, empty ones a record without tokens; NULL ids
-    stay NULL; repeated rows have a record each. Token ids take 2 bytes if the vocabulary allows, else 4.
+    stay NULL; repeated rows have a record each. Token ids take 2 bytes if the vocabulary allows, else 4. Only the job's
+    start reads the tokenizer's file.
     """
     from pyspark import TaskContext
 
+    folder = resolved(docs.sparkSession, folder)
+    sent = docs.sparkSession.sparkContext.broadcast(ranks(tokenizer))  # about a megabyte
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(sent.value)
         kind = np.dtype("<u2" if enc.n_vocab <= 1 << 16 else "<u4")
         fs, base = _open(folder)
         fs.create_dir(base, recursive=True)
@@ -156,9 +189,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> D
         with fs.open_output_stream(f"{base}/{shard}.rec.{mark}") as f:
             for b in batches:
                 ids, texts = b.column(0).to_pylist(), b.column(1)
-                for lo in range(0, b.num_rows, 500):
-                    got = [np.array(enc.encode_ordinary(t), kind) for t in texts.slice(lo, 500).to_pylist()]
-                    framed = frame([serialize(i, t) for i, t in zip(ids[lo : lo + 500], got)])
+                for lo, hi in slices(texts):
+                    got = [np.array(enc.encode_ordinary(t), kind) for t in texts.slice(lo, hi - lo).to_pylist()]
+                    framed = frame([serialize(i, t) for i, t in zip(ids[lo:hi], got)])
                     f.write(b"".join(framed))
                     size = np.array([len(x) for x in framed], np.int64)
                     at = offset + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
@@ -178,6 +211,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> D
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """(doc_id, tokens) of the index's rows, in any order, each read at its offset and held against its checksums."""
+    folder = resolved(index.sparkSession, folder)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(folder)
@@ -201,6 +235,9 @@ def shuffled(index: DataFrame, folder: str, seed: int = 0) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """write_records() into a new folder of the shared one; folder is a column of the index."""
+    """write_records() into a new folder of the shared one; folder is a column of the index.
+
+    The records are the result, so the folder stays.
+    """
     folder = new_folder(spark, "token-records")
     return write_records(docs, folder, tokenizer).withColumn("folder", F.lit(folder))

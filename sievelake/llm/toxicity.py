@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ._store import cut, narrow, shield
 from ._text import Words, codepoints, mix, signed, slices, spans, tables
-from .simhash import distance, fingerprints
+from ._runs import distance
+from .simhash import fingerprints
 
 #: Symbols and the letters that they may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -89,14 +90,14 @@ def language_model(counts: DataFrame) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
-def lattice(token: str, apart: bool = False) -> list[list[tuple[str, float]]]:
+def lattice(token: str, apart: bool = False) -> Iterator[list[tuple[str, float]]]:
     """Readings, with log-probabilities of the channel, of each run of equal characters in a token."""
-    out, i, t = [], 0, token.lower()
+    i, t = 0, token.lower()
     while i < len(t):
         c, j = t[i], i
         while j < len(t) and t[j] == c and not (apart and j > i):
             j += 1
-        run, i = j - i, j
+        run, later, i = j - i, i > 0, j
         if c in LEET:
             x = [(m, -1.0) for m in LEET[c]] if run == 1 else [(m * k, -1.0 - 0.5 * (k == 1)) for m in LEET[c] for k in (1, 2)]
             x.append((" ", -9.0) if run == 1 else ("", -7.0 if run == 2 else -3.0))
@@ -104,29 +105,42 @@ def lattice(token: str, apart: bool = False) -> list[list[tuple[str, float]]]:
             x = [(c, 0.0)] if run == 1 else [(c + c, 0.0), (c, -3.0)] if run == 2 else [(c, -1.0), (c + c, -1.5)]
         else:
             x = [("", -1.0), (" ", -1.0)]
-        if apart and out:
+        if apart and later:
             x = x + [(" " + e, s - 2.0) for e, s in x if e.strip()]
-        out.append(x)
-    return out
+        yield x
 
 
-def chunk_lattice(chunks: str) -> list[list[tuple[str, float]]]:
+def chunk_lattice(chunks: str) -> Iterator[list[tuple[str, float]]]:
     """Lattice of chunks with blanks between them. A blank is real, unless it stands between two single letters."""
-    parts, out = chunks.split(" "), []
-    for k, c in enumerate(parts):
+    before = ""
+    for k, c in enumerate(chunks.split(" ")):
         if k:
-            out.append([("", 0.0), (" ", -2.0)] if len(c) == len(parts[k - 1]) == 1 else [(" ", 0.0), ("", -2.0)])
-        out += lattice(c)
-    return out
+            yield [("", 0.0), (" ", -2.0)] if len(c) == len(before) == 1 else [(" ", 0.0), ("", -2.0)]
+        yield from lattice(c)
+        before = c
+
+
+def _said(node: tuple | None) -> str:
+    """What a chain of back-pointers (node before, emitted) emits."""
+    out = []
+    while node is not None:
+        node, emitted = node
+        out.append(emitted)
+    return "".join(reversed(out))
 
 
 def decode(token: str, lm: np.ndarray, apart: bool = False, chunks: bool = False) -> str:
-    """Viterbi path through the lattice of a token; the state is the last two characters. An empty token stays empty."""
+    """Viterbi path through the lattice of a token; the state is the last two characters. An empty token stays empty.
+
+    Paths are back-pointers, and where one state is left what led to it is settled, so time and memory grow with the
+    token's length alone.
+    """
     code, p = memoryview(codes()), memoryview(lm.reshape(-1))
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    settled: list[str] = []
     for options in chunk_lattice(token) if chunks else lattice(token, apart):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+        new: dict[tuple[int, int], tuple[float, tuple | None, str]] = {}
+        for (a, b), (score, node) in best.items():
             for emitted, cost in options:
                 s, x, y = score + cost, a, b
                 for ch in emitted:
@@ -135,9 +149,13 @@ def decode(token: str, lm: np.ndarray, apart: bool = False, chunks: bool = False
                         s += p[(x * CODES + y) * CODES + z]
                         x, y = y, z
                 if (x, y) not in new or new[x, y][0] < s:
-                    new[x, y] = (s, text + emitted)
-        best = new
-    return max((s + (p[(a * CODES + b) * CODES] if b else 0.0), text) for (a, b), (s, text) in best.items())[1].strip()
+                    new[x, y] = (s, node, emitted)
+        best = {k: (s, (node, emitted)) for k, (s, node, emitted) in new.items()}
+        if len(best) == 1:
+            ((state, (s, node)),) = best.items()
+            settled.append(_said(node))
+            best = {state: (s, None)}
+    return "".join(settled + [max((s + (p[(a * CODES + b) * CODES] if b else 0.0), _said(node)) for (a, b), (s, node) in best.items())[1]]).strip()
 
 
 def common_words(docs: DataFrame) -> np.ndarray:
@@ -288,12 +306,15 @@ def restored(texts: pa.Array, lm: np.ndarray, known: dict, common: np.ndarray =
     rows, out = [], []
     for kind, found in enumerate(suspects(texts, common, w)):
         for r, t in found:
-            if (kind, t) not in known:
+            said = known.get((kind, t))
+            if said is None:
+                said = decode(t, lm, kind == 1, kind == 2)
                 if len(known) > 50_000:
                     known.clear()  # only a memory of what was decoded
-                known[kind, t] = decode(t, lm, kind == 1, kind == 2)
+                if len(t) < 1000:
+                    known[kind, t] = said
             rows.append(r)
-            out.append(known[kind, t])
+            out.append(said)
     return rows, out
 
 
