@@ -103,14 +103,14 @@ def bands(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, np.bitwise_or.reduce(two << shift, axis=1)
 
 
-def positions(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, line_no, size) of all lines with a character, of documents with an id."""
+def positions(docs: DataFrame, shortest: int = 1) -> DataFrame:
+    """(h, doc_id, line_no, size) of all lines with at least `shortest` characters, of documents with an id."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
             for lo, hi in slices(b.column(1)):
-                x = Lines(b.column(1).slice(lo, hi - lo), 1)
+                x = Lines(b.column(1).slice(lo, hi - lo), shortest)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(x.hash)), pa.array(ids[lo:hi][x.row]), pa.array(x.number.astype(np.int32)), pa.array((x.end - x.start).astype(np.int32))], names=["h", "doc_id", "line_no", "size"])
 
     return narrow(docs, "doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(part, "h long, doc_id long, line_no int, size int")
@@ -210,13 +210,12 @@ def connect(group: np.ndarray, root: np.ndarray, texts: pa.Array, threshold: flo
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def verified(docs: DataFrame, members: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
-    """Edges (x, y) of line hashes with similar shingle sets, of groups members (g, part, h, root).
+def verified(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """Edges (x, y) of line hashes with similar shingle sets, of groups members (g, part, h, root, id).
 
-    first has (h, p.doc_id, p.line_no), a place of each line; each text goes from there to all its groups.
+    id is a document that has the line; each text goes from there to all its groups, of which a line has few.
     """
-    by_line = members.groupBy(F.col("h").alias("__h")).agg(F.collect_list(F.struct("g", "part", "root")).alias("to"))
-    want = cut(by_line.join(first, F.col("__h") == F.col("h")).select(F.col("p.doc_id").alias("id"), "h", "to"))
+    want = cut(members.groupBy("h").agg(F.first("id").alias("id"), F.collect_list(F.struct("g", "part", "root")).alias("to")))
     by_doc = want.groupBy("id").agg(F.collect_list(F.struct("h", "to")).alias("want"))
     d = narrow(docs, "doc_id", "text").where("text is not null")
     d = possibly_with(d, "doc_id", want.select("id").distinct())
@@ -276,39 +275,39 @@ def similar_lines(docs: DataFrame, first: DataFrame, threshold: float, min_chars
     verified edges. Groups too large for one task are split by hash, differently in each group, so that several bands
     connect the parts; of a split group that is still in several components, every two parts are compared as well.
     """
-    m = cut(candidates(docs, min_chars))
-    size = m.join(first.select("h", "size"), "h").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
+    place = first.select(F.col("h").alias("__h"), "size", F.col("p.doc_id").alias("id"))
+    m = cut(candidates(docs, min_chars).join(place, F.col("h") == F.col("__h")).select("g", "h", "size", "id"))
+    size = m.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
     parts = F.greatest(F.ceil(F.col("n") / PART_LINES), F.ceil(F.col("chars") / PART_CHARS))
     large = cut(size.select(F.col("g").alias("__g"), parts.alias("parts")).where("parts > 1"))
-    some = not large.isEmpty()
-    m = m.withColumn("part", F.lit(0).cast("long"))
-    if some:
-        m = cut(m.join(large, F.col("g") == F.col("__g"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("g", "h"), F.col("parts")), F.col("part"))).select("g", "part", "h", "parts"))
-    edges = cut(verified(docs, m.select("g", "part", "h", F.col("h").alias("root")), first, threshold))
-    c = components(edges)
-    if some:
-        c = cut(c)
-        rest = m.where("parts > 1").join(c, F.col("h") == F.col("node"), "left").select("g", "part", "h", "parts", F.coalesce("root", "h").alias("root"))
-        open_ = rest.groupBy(F.col("g").alias("__g")).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("__g")
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-        pairs = rest.join(open_, F.col("g") == F.col("__g"), "left_semi").withColumn("other", other).where("other <> part")
-        pair = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
-        more = cut(verified(docs, pairs.select("g", pair.alias("part"), "h", "root"), first, threshold))
-        c = components(edges.union(more))
-    return c.select(F.col("node").alias("h"), "root")
-
-
-def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    whole = m.withColumn("part", F.lit(0).cast("long")).withColumn("root", F.col("h"))
+    if large.isEmpty():
+        return components(verified(docs, whole, threshold)).select(F.col("node").alias("h"), "root")
+    part = F.coalesce(F.pmod(F.xxhash64("g", "h"), F.col("parts")), F.col("part"))
+    m = cut(whole.join(large, F.col("g") == F.col("__g"), "left").withColumn("part", part).select("g", "part", "h", "root", "id", "parts"))
+    edges = cut(verified(docs, m, threshold))
+    c = cut(components(edges))
+    rest = m.where("parts > 1").drop("root").join(c, F.col("h") == F.col("node"), "left").withColumn("root", F.coalesce("root", "h"))
+    open_ = rest.groupBy(F.col("g").alias("__g")).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("__g")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    pairs = rest.join(open_, F.col("g") == F.col("__g"), "left_semi").withColumn("other", other).where("other <> part")
+    pair = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
+    more = verified(docs, pairs.withColumn("part", pair).select("g", "part", "h", "root", "id"), threshold)
+    return components(edges.union(more)).select(F.col("node").alias("h"), "root")
+
+
+def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, shortest: int = 1) -> DataFrame:
     """(doc_id, line_no, h, keeper_doc, keeper_line) of every line that equals or resembles an earlier one.
 
     Lines are compared in lower case with white space as one blank; blank ones don't count. Lines with at least
     min_chars characters are similar if their sets of 9-character shingles have a Jaccard similarity of at least
-    threshold; shorter lines, however short, only if they are equal. Of each connected component the line with the least
-    (doc_id, line_no) is kept, in this or in any other document.
+    threshold; shorter lines only if they are equal. By default that holds however short they are; where lines like a
+    closing bracket matter, as in source code, `shortest` gives the characters under which lines never count. Of each
+    connected component the line with the least (doc_id, line_no) is kept, in this or in any other document.
     """
-    if min_chars < SHINGLE:
-        raise ValueError(f"min_chars must be at least {SHINGLE}")
-    where = cut(positions(docs))
+    if not SHINGLE <= min_chars >= shortest:
+        raise ValueError(f"min_chars must be at least {SHINGLE}, and not under shortest")
+    where = cut(positions(docs, shortest))
     first = cut(where.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("p"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size")))
     near = similar_lines(docs, first, threshold, min_chars).toDF("__h", "g")
     all_ = cut(first.join(near, F.col("h") == F.col("__h"), "left").select("h", "p", "n", "g"))
@@ -320,13 +319,13 @@ def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: in
     return p.select("doc_id", "line_no", "h", F.col("k.doc_id").alias("keeper_doc"), F.col("k.line_no").alias("keeper_line")).distinct()
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, drop_emptied: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, shortest: int = 1, drop_emptied: bool = False) -> DataFrame:
     """docs, all columns, without the lines that duplicate_lines() names; drop_emptied: nor documents left without text.
 
     Rows with NULL text or NULL doc_id stay as they are, and so do empty texts and blank lines. Rows that repeat an id
     are one document: a line that stays in one of them stays in all. Only documents that may lose a line are shuffled.
     """
-    gone = cut(duplicate_lines(docs, threshold, min_chars).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h")).alias("gone")))
+    gone = cut(duplicate_lines(docs, threshold, min_chars, shortest).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h")).alias("gone")))
     gone = gone.select(F.col("doc_id").alias("__sl_id"), F.col("gone.line_no").alias("__sl_n"), F.col("gone.h").alias("__sl_h"))
     s, old, at = shield(docs, "doc_id", "text")
     clear, touched = split_by(s, at["doc_id"], gone.select("__sl_id"))

@@ -172,3 +172,4 @@ def test_other_ids_are_refused(spark, items, labels):
 def test_short_lines(spark):
     d = spark.createDataFrame([(1, "Yes.\n\nbut no\n}"), (2, "yes.\n\n}\nother"), (3, "yes")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(d).collect()} == {1: "Yes.\n\nbut no\n}", 2: "\nother", 3: "yes"}
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(d, shortest=2).collect()} == {1: "Yes.\n\nbut no\n}", 2: "\n}\nother", 3: "yes"}
