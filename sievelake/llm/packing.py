@@ -123,6 +123,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, places: int = OPEN_WINDOWS,
     d = narrow(docs, "doc_id", "text").where("text is not null")
     t = written(d.mapInArrow(first, SCHEMA), "windows")  # once, so that windows and leftovers fit together
     left = t.where(F.col("window").startswith("open-"))
-    n = -(-d.rdd.getNumPartitions() // merge)
+    n = max(1, -(-d.rdd.getNumPartitions() // merge))
     merged = left.repartition(n, F.xxhash64("window")).sortWithinPartitions(F.desc("n_tokens"), "window").mapInArrow(second, SCHEMA)
     return t.where(~F.col("window").startswith("open-")).unionByName(merged)
