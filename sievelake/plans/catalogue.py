@@ -396,6 +396,7 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and sharpness of the pictures, written as PNG files and read by the image source."""
     folder = shared.new_folder(spark, "pictures")
+    shared.forget(spark, folder)
     samples.write_images(pictures(spark, sf_dir), folder)
     m = image.measure(readers.read_images(spark, folder))
     return m.select(F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("long").alias("row_id"), "height", "width", F.round("sharpness", 6).alias("sharpness"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -28,3 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, kind: str) -> str:
     """Name of a new folder in the shared one."""
     return os.path.join(shared_dir(spark), f"{kind}-{uuid.uuid4().hex}")
+
+
+_temporary: list[tuple[SparkSession, str]] = []
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove this folder when the Python process ends."""
+    if not _temporary:
+        atexit.register(_clean)
+    _temporary.append((spark, path))
+
+
+def _clean() -> None:
+    for spark, path in _temporary:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the session may be gone, and its folder with it
+            pass

@@ -145,6 +145,19 @@ def test_a_forest_fold_without_a_class(spark):
     assert next(r["p"][2] for r in got if r["row_id"] == 99) == 0.0
 
 
+def test_any_provider_of_probabilities(spark):
+    d = spark.createDataFrame([(i, float(i % 2), "no" if i % 2 else "yes", i % 2) for i in range(20)] + [(20, 1.0, "yes", 1)], "id long, v double, label string, fold int")
+    seen = []
+
+    def by_sign(rows, features):
+        seen.append((rows.columns, features))
+        return rows.withColumn("p", F.when(F.col("x0") > 0, F.array(F.lit(0.9), F.lit(0.1))).otherwise(F.array(F.lit(0.2), F.lit(0.8))))
+
+    got = labels.label_issues(d, "label", "id", by_sign, exclude=["fold"])
+    assert seen == [(["row_id", "x0", "y", "fold"], ["x0"])] and got.columns == ["row_id", "y", "p"]
+    assert [(r["row_id"], r["given"], r["predicted"]) for r in labels.errors(got).collect()] == [(20, 1, 0)]
+
+
 def test_sinks(spark, tmp_path):
     (tmp_path / "in.csv").write_text("a,b\n1,x\n2,\n2,\n")
     r = report.profile_file(spark, f"{tmp_path}/in.csv")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import importlib
 import math
+import sys
 from pathlib import Path
 
 import duckdb
@@ -41,3 +43,11 @@ def test_flagship(spark, tiny):
     got = {r["column"]: r for r in catalogue.flagship(spark, tiny).collect()}
     assert set(got) == {"event_id", "ts", "user_id", "event_type", "value", "props"}
     assert got["value"]["outlier_count"] > 0 and got["ts"]["outlier_count"] is None
+
+
+def test_entry_without_the_training_operators(monkeypatch):
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    entry = importlib.reload(importlib.import_module("__spark_entry__"))
+    assert set(entry.queries()) == set(catalogue.QUERIES) and set(entry.oracle_sql()) == set(catalogue.SQL)
+    monkeypatch.undo()
+    importlib.reload(entry)
