@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import new_folder, shared_dir
+from ..sources.shared import forget, new_folder, shared_dir
 
 #: Least and greatest bits of a key filter. It has 16 bits for a key, and at most 32 MB are broadcast; with more keys than
 #: a filter that large can tell apart, a plain join of all rows takes its place.
@@ -21,9 +19,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_written: list[tuple[SparkSession, str]] = []
-
-
 def written(df: DataFrame, kind: str) -> DataFrame:
     """df as a Parquet table in the shared folder, for what is too large for a checkpoint's row format.
 
@@ -35,23 +30,6 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    """Remove this folder when the Python process ends."""
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the session may be gone, and its folder with it
-            pass
-
-
 #: Columns of ids.
 IDS = ("doc_id", "vec_id")
 

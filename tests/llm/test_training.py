@@ -83,7 +83,7 @@ def test_the_field_learns_what_its_likelihood_says(spark):
 
     # no round leaves uniform tags, but for those that must follow their own kind
     start, short, long_ = (mean_log_likelihood(pii.train(table, rounds=r)) for r in (0, 5, 60))
-    assert start < short < long_ and long_ > math.log(0.9)
+    assert start < min(short, long_) and min(short, long_) > math.log(0.95)  # the decay lets the longer one be a little below
 
 
 @pytest.mark.parametrize("shape", ["0" * 50, "a" * 1 + "-0" * 60, "@." * 40])
