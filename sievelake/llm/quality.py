@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut, narrow, possibly_with
+from ._store import cut, narrow
 from ._text import Words, codepoints, slices, spans, tables
 
 #: Buckets into which sources and languages are hashed.
@@ -39,11 +39,14 @@ def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r[new], h[new], np.diff(np.append(np.flatnonzero(new), len(r)))
 
 
-def word_counts(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+def word_counts(docs: DataFrame, labels: DataFrame, max_lexicon: int = 20_000) -> np.ndarray:
     """(FOLDS, 2, WORD_BUCKETS + 1): labelled documents (label_id, y) by fold, label and hashed word; last, all of them.
 
-    Whole texts count, each word once. What reaches the driver has this fixed size.
+    Whole texts count, each word once, of at most max_lexicon labelled documents, those with the least hash of the id;
+    their ids are broadcast, so that no text is shuffled. What reaches the driver has this fixed size.
     """
+    few = labels.orderBy(F.xxhash64("label_id"), "label_id").limit(max_lexicon).toPandas().astype({"label_id": "int64", "y": "int32"})
+    labels = docs.sparkSession.createDataFrame(few, "label_id long, y int")
     width = WORD_BUCKETS + 1
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,8 +60,8 @@ def word_counts(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
 
-    d = possibly_with(narrow(docs, "doc_id", "text").where("text is not null"), "doc_id", labels.select("label_id"))
-    d = d.join(labels, F.col("doc_id") == F.col("label_id")).select("text", _fold().alias("fold"), "y")
+    d = narrow(docs, "doc_id", "text").where("text is not null")
+    d = d.join(F.broadcast(labels), F.col("doc_id") == F.col("label_id")).select("text", _fold().alias("fold"), "y")
     out = np.zeros(FOLDS * 2 * width, np.int64)
     for r in d.mapInArrow(part, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["at"]] = r["n"]
@@ -313,15 +316,16 @@ def fit(table: DataFrame, rounds: int = 3, steps: int = 4, confident: float = 0.
     return Model(views[0], views[1], combine)
 
 
-def quality(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, max_lexicon: int = 20_000, **params) -> DataFrame:
     """(doc_id, p_text, p_meta, score, keep) of every row of docs (doc_id, text, lang, source, n_chars).
 
     labels has doc_id and quality (positive is good). Rows with a NULL id or quality don't count; of repeated labels the
     highest does. NULL and empty texts, languages and sources are values of their own; a NULL size is 0; rows with a
-    NULL id, and repeated rows, are scored like any. Without labels of both kinds every score is 0.5, and all are kept.
+    NULL id, and repeated rows, are scored like any. Words get their weights from at most max_lexicon labelled documents;
+    every labelled one trains the views. Without labels of both kinds every score is 0.5, and all are kept.
     """
     y = cut(narrow(labels, "doc_id", "quality").dropna().groupBy(F.col("doc_id").alias("label_id")).agg((F.max("quality") > 0).cast("int").alias("y")))
-    x = features(docs, word_weights(word_counts(docs, y)))
+    x = features(docs, word_weights(word_counts(docs, y, max_lexicon)))
     table = cut(x.join(y, x["doc_id"] == y["label_id"], "left").select("doc_id", "t", "m", "y"))
     kinds = table.agg(F.min("y"), F.max("y")).first()
     if kinds[0] == kinds[1]:
