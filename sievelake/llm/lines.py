@@ -133,7 +133,7 @@ def candidates(docs: DataFrame, min_chars: int) -> DataFrame:
                 h, at = h[new], at[new]
                 if not len(h):
                     continue
-                if len(seen) > 1_000_000:  # only a memory of what was emitted; repetitions are dropped later
+                if len(seen) > 200_000:  # only a memory of what was emitted; repetitions are dropped later
                     seen = seen[:0]
                 seen = np.concatenate([seen, h])
                 at = np.sort(at)
