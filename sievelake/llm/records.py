@@ -144,7 +144,7 @@ def resolved(spark: SparkSession, folder: str) -> str:
     path must lie in the shared folder of spark.checkpoint.dir. ValueError if it doesn't, or if no file system is known.
     """
     p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    p = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    p = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
     scheme, _, rest = p.partition(":")
     if scheme in ("s3a", "s3n"):
         p = f"s3:{rest}"

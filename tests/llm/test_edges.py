@@ -68,6 +68,15 @@ def test_records(spark, odd, none, tmp_path):
     assert records.write_records(none, f"{tmp_path}/b").count() == 0
 
 
+def test_folders_of_records(spark, monkeypatch):
+    assert records.resolved(spark, "/tmp/x y") == records.resolved(spark, "file:/tmp/x y")
+    shared = records.shared_dir(spark)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    assert records.resolved(spark, f"{shared}/records").endswith("/records")
+    with pytest.raises(ValueError):
+        records.resolved(spark, "/tmp/elsewhere")
+
+
 def test_pii(spark, odd, none):
     field = pii.train(pii.labelled_table(spark, 150), rounds=30)
     assert all(r["doc_id"] != 1 for r in pii.find(odd, field).collect())
