@@ -9,8 +9,10 @@ restored text alike.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,24 +92,43 @@ def language_model(counts: DataFrame) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+_RUN = re.compile(r"(.)\1*", re.DOTALL)
+
+
+@lru_cache(maxsize=1 << 16)
+def _readings(c: str, run: int) -> list[tuple[str, float]]:
+    """Readings of a run of one character, of 1, of 2, or of 3 and more."""
+    if c in LEET:
+        x = [(m, -1.0) for m in LEET[c]] if run == 1 else [(m * k, -1.0 - 0.5 * (k == 1)) for m in LEET[c] for k in (1, 2)]
+        return [*x, (" ", -9.0) if run == 1 else ("", -7.0 if run == 2 else -3.0)]
+    if c.isalpha():
+        return [(c, 0.0)] if run == 1 else [(c + c, 0.0), (c, -3.0)] if run == 2 else [(c, -1.0), (c + c, -1.5)]
+    return [("", -1.0), (" ", -1.0)]
+
+
 def lattice(token: str, apart: bool = False) -> Iterator[list[tuple[str, float]]]:
-    """Readings, with log-probabilities of the channel, of each run of equal characters in a token."""
-    i, t = 0, token.lower()
-    while i < len(t):
-        c, j = t[i], i
-        while j < len(t) and t[j] == c and not (apart and j > i):
-            j += 1
-        run, later, i = j - i, i > 0, j
-        if c in LEET:
-            x = [(m, -1.0) for m in LEET[c]] if run == 1 else [(m * k, -1.0 - 0.5 * (k == 1)) for m in LEET[c] for k in (1, 2)]
-            x.append((" ", -9.0) if run == 1 else ("", -7.0 if run == 2 else -3.0))
-        elif c.isalpha():
-            x = [(c, 0.0)] if run == 1 else [(c + c, 0.0), (c, -3.0)] if run == 2 else [(c, -1.0), (c + c, -1.5)]
-        else:
-            x = [("", -1.0), (" ", -1.0)]
-        if apart and later:
-            x = x + [(" " + e, s - 2.0) for e, s in x if e.strip()]
+    """Readings, with log-probabilities of the channel, of each run of equal characters in a token.
+
+    Letters that have one reading come together. apart: each character by itself, perhaps the first of a new word.
+    """
+    t = token.lower()
+    if apart:
+        for i, c in enumerate(t):
+            x = _readings(c, 1)
+            yield x + [(" " + e, s - 2.0) for e, s in x if e.strip()] if i else x
+        return
+    plain = ""
+    for m in _RUN.finditer(t):
+        x = _readings(m[1], min(m.end() - m.start(), 3))
+        if len(x) == 1:
+            plain += m[1]
+            continue
+        if plain:
+            yield [(plain, 0.0)]
+            plain = ""
         yield x
+    if plain:
+        yield [(plain, 0.0)]
 
 
 def chunk_lattice(chunks: str) -> Iterator[list[tuple[str, float]]]:
@@ -136,11 +157,23 @@ def decode(token: str, lm: np.ndarray, apart: bool = False, chunks: bool = False
     token's length alone.
     """
     code, p = memoryview(codes()), memoryview(lm.reshape(-1))
-    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {}
     settled: list[str] = []
+    a = b = 0
+    total = 0.0  # of the one state that is left, while best is empty
     for options in chunk_lattice(token) if chunks else lattice(token, apart):
+        if not best and len(options) == 1:
+            emitted, cost = options[0]
+            total += cost
+            for ch in emitted:
+                z = code[ord(ch)]
+                if z or b:
+                    total += p[(a * CODES + b) * CODES + z]
+                    a, b = b, z
+            settled.append(emitted)
+            continue
         new: dict[tuple[int, int], tuple[float, tuple | None, str]] = {}
-        for (a, b), (score, node) in best.items():
+        for (a, b), (score, node) in best.items() if best else (((a, b), (total, None)),):
             for emitted, cost in options:
                 s, x, y = score + cost, a, b
                 for ch in emitted:
@@ -150,12 +183,15 @@ def decode(token: str, lm: np.ndarray, apart: bool = False, chunks: bool = False
                         x, y = y, z
                 if (x, y) not in new or new[x, y][0] < s:
                     new[x, y] = (s, node, emitted)
-        best = {k: (s, (node, emitted)) for k, (s, node, emitted) in new.items()}
-        if len(best) == 1:
-            ((state, (s, node)),) = best.items()
-            settled.append(_said(node))
-            best = {state: (s, None)}
-    return "".join(settled + [max((s + (p[(a * CODES + b) * CODES] if b else 0.0), _said(node)) for (a, b), (s, node) in best.items())[1]]).strip()
+        if len(new) == 1:
+            (((a, b), (total, node, emitted)),) = new.items()
+            settled.append(_said((node, emitted)))
+            best = {}
+        else:
+            best = {k: (s, (node, emitted)) for k, (s, node, emitted) in new.items()}
+    if best:
+        settled.append(max((s + (p[(a * CODES + b) * CODES] if b else 0.0), _said(node)) for (a, b), (s, node) in best.items())[1])
+    return "".join(settled).strip()
 
 
 def common_words(docs: DataFrame) -> np.ndarray:
