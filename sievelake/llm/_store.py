@@ -8,9 +8,9 @@ from pyspark.sql import types as T
 
 from ..sources.shared import forget, new_folder, shared_dir
 
-#: Least and greatest bits of a key filter. It has 16 bits for a key, and at most 32 MB are broadcast; with more keys than
+#: Least and greatest bits of a key filter. It has 32 bits for a key, and at most 32 MB are broadcast; with more keys than
 #: a filter that large can tell apart, a plain join of all rows takes its place.
-FILTER_BITS, MOST_BITS = 1 << 16, 1 << 28
+FILTER_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def narrow(df: DataFrame, *names: str) -> DataFrame:
 
 def filter_size(keys: int) -> int:
     """Bits of a filter for so many keys, a power of two; 0 if none within bounds would tell them apart."""
-    bits = max(FILTER_BITS, 1 << (16 * keys - 1).bit_length() if keys else 0)
+    bits = max(FILTER_BITS, 1 << (32 * keys - 1).bit_length() if keys else 0)
     return min(bits, MOST_BITS) if 4 * keys <= MOST_BITS else 0
 
 

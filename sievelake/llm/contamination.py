@@ -75,11 +75,12 @@ def item_keys(shingles: DataFrame) -> DataFrame:
 
 
 def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """Flags of the keys' low bits, gathered on the driver: 16 bits a key, at most 32 MB; its size is a power of two.
+    """Flags of the keys' low bits, gathered on the driver: from 1 MB, with 256 bits a key, to 32 MB; a power of two.
 
-    With very many keys it lets more pass; what passes is joined with the keys anyway.
+    Every window of every text is looked up, so few may pass by chance. With very many keys more do; what passes is joined
+    with the keys anyway.
     """
-    bits = filter_size(keys.count()) or MOST_BITS
+    bits = max(1 << 23, filter_size(8 * keys.count()) or MOST_BITS)
     at = F.col(column).bitwiseAND(bits - 1)
     rows = keys.select(F.shiftright(at, 15).alias("b"), at.bitwiseAND(32767).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
     out = np.zeros(bits // 8, np.uint8)
