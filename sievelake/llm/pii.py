@@ -13,10 +13,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ._store import narrow
-from ._text import codepoints, mix, prefix_hash, slices, span_hash, spans, tables
+from ._text import codepoints, prefix_hash, slices, span_hash, spans, tables
 
 TAGS = ("O", "B-EMAIL", "B-PHONE", "I-PHONE", "B-CARD", "I-CARD", "B-IP", "B-SSN")
 _TRIM = ".,;:!?\"'()[]<>#$%&*"
