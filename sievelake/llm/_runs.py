@@ -137,3 +137,79 @@ def labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             break
         lab = new
     return lab
+
+
+#: Bits that missing_edges() compares by a product of matrices, and rows that share a number in it: three sums of at most
+#: twice 127 fit in the 24 bits of a float, so the product is exact.
+SIFT, PACK = 127, 3
+#: Rows of numbers and columns of a product.
+SIFT_ROWS, SIFT_COLUMNS = 128, 1024
+
+
+def _sift_left(prints: np.ndarray) -> np.ndarray:
+    """(rows of numbers, SIFT + 1): number p holds the rows p, p + P and p + 2 P, for P numbers."""
+    size = -(-len(prints) // PACK)
+    out = np.zeros((size, SIFT + 1), np.float32)
+    for k in range(PACK):
+        some = prints[k * size : (k + 1) * size]
+        out[: len(some), :SIFT] += np.unpackbits(some.view(np.uint8).reshape(len(some), 8 * some.shape[1]), axis=1, bitorder="little", count=SIFT) * np.float32(256**k)
+        out[: len(some), SIFT] += 256**k
+    return out
+
+
+def _sift_right(prints: np.ndarray) -> np.ndarray:
+    """(SIFT + 1, rows): times _sift_left(), byte k of a number is SIFT less the first bits in which the two rows differ."""
+    bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), 8 * prints.shape[1]), axis=1, bitorder="little", count=SIFT)
+    out = np.empty((SIFT + 1, len(prints)), np.float32)
+    out[:SIFT] = bits.T
+    out[SIFT] = SIFT - out[:SIFT].sum(0)
+    out[:SIFT] *= 2
+    out[:SIFT] -= 1
+    return out
+
+
+def missing_edges(prints: np.ndarray, split: int, lab: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that connect what lab (0 to n - 1, by place) has apart and a pair within limit bits connects.
+
+    Every place before split is compared with every place from it on or, if split is n, with every other one. Pairs that
+    differ in more than limit of their first bits are left out by that; of all others the whole distance is taken.
+    """
+    n = len(prints)
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    product = np.empty((SIFT_ROWS, SIFT_COLUMNS), np.float32)
+    whole = np.empty(product.size, np.int32)
+    mask = np.empty(4 * product.size, bool)
+    step = PACK * SIFT_ROWS * 16
+    for lo in range(0, split, step):
+        hi = min(split, lo + step)
+        left = _sift_left(prints[lo:hi])
+        for c in range(lo if split == n else split, n, SIFT_COLUMNS):
+            right = _sift_right(prints[c : c + SIFT_COLUMNS])
+            width = right.shape[1]
+            for r in range(0, len(left), SIFT_ROWS):
+                some = left[r : r + SIFT_ROWS]
+                m = np.matmul(some, right, out=product.reshape(-1)[: len(some) * width].reshape(len(some), width))
+                w = whole[: m.size]
+                np.copyto(w, m.reshape(-1), casting="unsafe")
+                near = np.greater_equal(w.view(np.uint8), max(0, SIFT - limit), out=mask[: 4 * m.size])
+                # first the columns with any, then the numbers in these, then their bytes
+                numbers = near.view(np.uint32).reshape(m.shape)
+                columns = np.flatnonzero(np.bitwise_or.reduce(numbers, axis=0))
+                if not len(columns):
+                    continue
+                p, q = np.nonzero(numbers[:, columns])
+                q = columns[q]
+                at, k = np.nonzero(near.reshape(-1, 4)[p * width + q, :PACK])
+                i, j = lo + r + p[at] + k * len(left), c + q[at]
+                ok = i < hi
+                if split == n:
+                    ok &= i < j
+                i, j = i[ok], j[ok]
+                ok = lab[i] != lab[j]
+                i, j = i[ok], j[ok]
+                ok = distance(prints[i], prints[j]) <= limit
+                if ok.any():
+                    out.append((i[ok], j[ok]))
+                    lab = labels(n, lab[i[ok]], lab[j[ok]])[lab]
+    x, y = (np.concatenate(v) for v in zip(*out))
+    return x, y

@@ -1,9 +1,10 @@
-"""Near-duplicate documents by 256-bit SimHash fingerprints and an LSH forest.
+"""Near-duplicate documents by 256-bit SimHash fingerprints, an LSH forest and a sweep over what it leaves apart.
 
 Each try is a trie over randomly permuted bits. Where documents are sparse, short prefixes with few tries reach the target
 recall; where they are dense, longer prefixes with more tries do so with fewer comparisons. Each document chooses its own
 prefix depth from the density around it, and two documents are compared at the shorter of their depths, so that the
-recall at the largest distance holds for every pair, whatever the size of the corpus.
+recall at the largest distance holds for every pair, whatever the size of the corpus. What the forest misses is found by
+a sweep that compares every two fingerprints of different groups, so the groups are those of all pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._runs import distance, labels, run_edges, runs
+from ._runs import distance, labels, missing_edges, run_edges, runs
 from ._store import cut, drop_all, narrow, shield
 from ._text import Words, mix, slices
 
@@ -31,6 +32,9 @@ DEPTHS = (8, 12, 16, 20, 24, 28, 32)
 PROBES, PROBE_DEPTH = 4, 14
 #: What planting a document in a try costs, in comparisons: a row of about 60 bytes is shuffled and sorted.
 PLANT_COST = 500
+#: Fingerprints of a part of the sweep, into how many parts small and large corpora are cut, and the most that a part may
+#: hold at any size: each fingerprint is shuffled once for every part.
+SWEEP_ROWS, SWEEP_LEAST, SWEEP_MOST, SWEEP_HELD = 32_768, 8, 96, 1_000_000
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
 _SEEDS = mix(np.arange(1, 5, dtype=np.uint64))
 
@@ -223,15 +227,62 @@ def edges(prints: DataFrame, max_distance: int = MAX_DISTANCE, recall: float = 0
     return near.union(same).where("x <> y")
 
 
+def sweep_parts(n: int) -> int:
+    """Into how many parts the sweep cuts n fingerprints; every two parts, and each with itself, are a task."""
+    return max(1, min(SWEEP_LEAST, -(-n // 2048)), min(SWEEP_MOST, -(-n // SWEEP_ROWS)), -(-n // SWEEP_HELD))
+
+
+def missed(prints: DataFrame, groups: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """Pairs (x, y) of roots of groups (node, root) that some two fingerprints within max_distance connect.
+
+    Every two fingerprints of different groups are compared; a document in no group is its own root.
+    """
+    fp = ["a", "b", "c", "d"]
+    rooted = prints.join(groups, F.col("doc_id") == F.col("node"), "left").select(*fp, F.coalesce("root", "doc_id").alias("root"))
+    heads = cut(rooted.groupBy(*fp).agg(F.min("root").alias("root")))
+    n = sweep_parts(heads.count())
+    part, other = F.col("part"), F.col("other")
+    cells = heads.withColumn("part", F.pmod(F.xxhash64(*fp), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    # the parts i <= j meet in cell j (j + 1) / 2 + i
+    high = F.greatest(part, other)
+    cells = cells.select((high * (high + 1) / 2 + F.least(part, other)).cast("int").alias("cell"), "part", "root", *fp)
+    cells = cells.repartitionById(n * (n + 1) // 2, F.col("cell")).sortWithinPartitions("cell", "part")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a cell is two parts, each of bounded size, so it never comes in pieces
+        for t, _, _ in runs(batches, ("cell",), 1 << 62):
+            cell, root, part, all_prints = t["cell"].to_numpy(), t["root"].to_numpy(), t["part"].to_numpy(), _prints(t)
+            border = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+            for lo, hi in zip(border[:-1], border[1:]):
+                own, lab = np.unique(root[lo:hi], return_inverse=True)
+                # of two parts, those of the first; of a part with itself (or whose other one is empty), all
+                split = int(np.searchsorted(part[lo:hi], part[lo], side="right"))
+                x, y = missing_edges(all_prints[lo:hi], split, lab, max_distance)
+                x, y = own[lab[x]], own[lab[y]]
+                u = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(u[:, 0])), pa.array(np.ascontiguousarray(u[:, 1]))], names=["x", "y"])
+
+    return cells.mapInArrow(compare, "x long, y long")
+
+
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, recall: float = 0.95) -> DataFrame:
     """(doc_id, keeper): every document in a group of two or more near-duplicates, and the group's least id, which stays.
 
     Two documents are near-duplicates if the 256-bit fingerprints of their word sets differ in at most max_distance
-    bits; groups are the connected components. Documents without words (NULL, empty, only signs) and without an id are
-    in no group. Rows that repeat an id are one document; with different texts, it is near to whatever either is near to.
+    bits; groups are the connected components over all such pairs. recall is that of the forest, which finds most of
+    them; it decides how much is left to the sweep, not what is found. Documents without words (NULL, empty, only signs)
+    and without an id are in no group. Rows that repeat an id are one document; with different texts, it is near to
+    whatever either is near to.
     """
     prints = cut(fingerprint_table(docs).distinct())
-    return components(edges(prints, max_distance, recall)).select(F.col("node").alias("doc_id"), F.col("root").alias("keeper"))
+    groups = cut(components(edges(prints, max_distance, recall)))
+    more = cut(missed(prints, groups, max_distance).distinct())
+    if not more.isEmpty():
+        ends = more.select(F.col("x").alias("node")).union(more.select("y")).distinct()
+        groups = groups.union(ends.select("node", F.col("node").alias("root"))).distinct()
+        joined = components(more).toDF("old", "new")
+        groups = groups.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    return groups.select(F.col("node").alias("doc_id"), F.col("root").alias("keeper"))
 
 
 def without_near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, recall: float = 0.95) -> DataFrame:

@@ -88,3 +88,68 @@ def test_long_runs_come_in_pieces():
             before = here[-1]
             seen += t["v"].to_numpy().tolist()
         assert seen == list(range(len(k)))
+
+
+def pairs_of_texts(seed: int, n: int) -> list[str]:
+    """n texts of 60 to 140 words, and a copy of each with so many other words that they are about as far as allowed."""
+    rng = np.random.default_rng(seed)
+    texts, copies = [], []
+    for _ in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, rng.integers(60, 140))]
+        other = [f"w{x}" if rng.random() < 0.13 else w for w, x in zip(words, rng.integers(0, 1 << 40, len(words)))]
+        texts.append(" ".join(words))
+        copies.append(" ".join(other))
+    return texts + copies
+
+
+@pytest.mark.parametrize("recall", [0.95, 0.05])
+def test_groups_are_those_of_all_pairs(spark, recall):
+    texts = pairs_of_texts(7, 1_500)
+    prints, _ = simhash.fingerprints(pa.array(texts))
+    x, y = [], []
+    for i in range(len(prints)):
+        j = i + 1 + np.flatnonzero(_runs.distance(prints[i + 1 :], prints[i]) <= simhash.MAX_DISTANCE)
+        x += [i] * len(j)
+        y += j.tolist()
+    far = _runs.distance(prints[x], prints[y]) >= simhash.MAX_DISTANCE - 4
+    assert far.sum() > 150
+    lab = _runs.labels(len(prints), np.array(x), np.array(y))
+    size = np.bincount(lab, minlength=len(lab))
+    want = {(i, int(k)) for i, k in enumerate(lab) if size[k] > 1}
+    d = spark.createDataFrame(pa.table({"doc_id": np.arange(len(texts)), "text": texts})).repartition(4)
+    assert {(r["doc_id"], r["keeper"]) for r in simhash.near_duplicates(d, recall=recall).collect()} == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 700, 9_000])
+@pytest.mark.parametrize("share", [0.3, 1.0])
+def test_sweep_compares_every_pair(n, share):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 63, (max(1, n // 3), 4), dtype=np.uint64)
+    prints = flipped(rng, base[rng.integers(0, len(base), n)], 21)
+    prints[n // 2 :: 5] = flipped(rng, prints[: len(prints[n // 2 :: 5])], simhash.MAX_DISTANCE)
+    split, lab = max(1, int(share * n)), np.arange(n)
+    x, y = _runs.missing_edges(prints, split, lab, simhash.MAX_DISTANCE)
+    assert (_runs.distance(prints[x], prints[y]) <= simhash.MAX_DISTANCE).all()
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(split):
+        j = (i + 1 if split == n else split) + np.flatnonzero(_runs.distance(prints[i + 1 if split == n else split :], prints[i]) <= simhash.MAX_DISTANCE)
+        a.append(np.full(len(j), i))
+        b.append(j)
+    want = _runs.labels(n, np.concatenate(a), np.concatenate(b))
+    assert (_runs.labels(n, x, y) == want).all()
+    # what is together already gives no pairs, and any distance is one that may be asked for
+    assert not len(_runs.missing_edges(prints, split, want, simhash.MAX_DISTANCE)[0])
+    assert n > 700 or split == n == 1 or (_runs.labels(n, *_runs.missing_edges(prints, split, lab, 256)) == 0).all()
+
+
+def test_parts_of_the_sweep(spark, monkeypatch):
+    assert [simhash.sweep_parts(n) for n in (0, 1, 2048, 9_000, 250_000, 14_000_000)] == [1, 1, 1, 5, 8, 96]
+    assert all(n / simhash.sweep_parts(n) <= simhash.SWEEP_HELD for n in (10**8, 10**9))
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 63, (200, 4), dtype=np.uint64)
+    t = np.concatenate([a, flipped(rng, a[:100], simhash.MAX_DISTANCE)]).view(np.int64)
+    d = spark.createDataFrame(pa.table({"doc_id": np.arange(len(t)), **{c: np.ascontiguousarray(t[:, i]) for i, c in enumerate("abcd")}}))
+    none = spark.createDataFrame([], "node long, root long")
+    for rows in (1, 60, 1_000):
+        monkeypatch.setattr(simhash, "sweep_parts", lambda n: min(12, -(-n // rows)))
+        assert {(r["x"], r["y"]) for r in simhash.missed(d, none).collect()} == {(i, 200 + i) for i in range(100)}
