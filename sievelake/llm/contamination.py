@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import MOST_BITS, cut, drop_all, filter_size, narrow, possibly_with, shield
-from ._text import Words, mix, signed, slices
+from ._text import Words, lean, mix, signed, slices
 
 #: Words of a shingle, least part of an item's shingles, MinHash values of a window.
 SHINGLE, THRESHOLD, HASHES = 5, 0.8, 24
@@ -36,6 +36,7 @@ def _shingles(w: Words, words: int) -> tuple[np.ndarray, np.ndarray]:
 def item_shingles(items: DataFrame) -> DataFrame:
     """Distinct (item_id, words, s): hashed shingles of each item; an item of fewer words than a shingle is one of its own."""
 
+    @lean
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in slices(b.column(1)):
@@ -60,6 +61,7 @@ def item_keys(shingles: DataFrame) -> DataFrame:
     least = [F.min((low * F.lit(int(a)) + F.shiftleft((high * F.lit(int(a))).bitwiseAND(0xFFFF), 16)).bitwiseAND(0xFFFFFFFF)).alias(f"m{k}") for k, a in enumerate(_MULT)]
     t = shingles.where(F.col("words") == SHINGLE).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), *least)
 
+    @lean
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size = np.array([size_class(n) for n in b.column(1).to_pylist()], np.int32)
@@ -103,6 +105,7 @@ def window_hits(docs: DataFrame, sizes: list[int], short: list[int], bits) -> Da
     numbers of words), all word sequences of their length are looked up.
     """
 
+    @lean
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
@@ -148,6 +151,7 @@ def _with_words(docs: DataFrame, items: DataFrame, threshold: float) -> DataFram
     pairs = cut(hits.join(keys, "key").select("doc_id", "item_id").distinct())
     bits = send(_bitmap(shingles, "s"))
 
+    @lean
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct shingles of each text that an item may have."""
         for b in batches:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._runs import labels, run_edges, runs
 from ._store import cut, narrow, possibly_with, shield, split_by
-from ._text import codepoints, mix, prefix_hash, signed, slices, span_hash, tables
+from ._text import codepoints, lean, mix, prefix_hash, signed, slices, span_hash, tables
 
 #: Characters of a shingle, hashes by band, bands, least Jaccard similarity, and characters from which lines may be similar
 #: without being equal.
@@ -106,6 +106,7 @@ def bands(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def positions(docs: DataFrame, shortest: int = 1) -> DataFrame:
     """(h, doc_id, line_no, size) of all lines with at least `shortest` characters, of documents with an id."""
 
+    @lean
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
@@ -123,6 +124,7 @@ def candidates(docs: DataFrame, min_chars: int) -> DataFrame:
     group in several bands is compared once. A bucket too long for one task is one group.
     """
 
+    @lean
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)
         for b in batches:
@@ -144,6 +146,7 @@ def candidates(docs: DataFrame, min_chars: int) -> DataFrame:
     rows = narrow(docs, "text").where("text is not null").mapInArrow(emit, "key long, h long, sketch long")
     rows = rows.repartition("key").sortWithinPartitions("key", "h")
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, open_, more in runs(batches, ("key",)):
             key, h, sketch = (t[c].to_numpy() for c in ("key", "h", "sketch"))
@@ -221,6 +224,7 @@ def verified(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame
     d = possibly_with(d, "doc_id", want.select("id").distinct())
     d = d.join(by_doc, d["doc_id"] == by_doc["id"]).select("text", F.col("want.h").alias("h"), F.col("want.to").alias("to"))
 
+    @lean
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in slices(b.column(0)):
@@ -251,6 +255,7 @@ def verified(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame
             before = at[:, -1]
             yield b.filter(pa.array(new))
 
+    @lean
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _, _ in runs(fresh(batches), ("g", "part")):
             g, part, h, root = (t[c].to_numpy() for c in ("g", "part", "h", "root"))
@@ -333,6 +338,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int =
     place = s.columns.index(at["text"])
     names, width = s.columns, len(s.columns)
 
+    @lean
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, new, keep = b.column(place), [], []

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import narrow, written
-from ._text import codepoints, slices, spans, tables
+from ._text import codepoints, lean, slices, spans, tables
 
 CAPACITY, OPEN_WINDOWS, MERGE = 2048, 64, 32
 SCHEMA = "window string, n_tokens int, doc_ids array<long>, starts array<int>, lengths array<int>, texts array<string>"
@@ -82,6 +82,42 @@ def pieces(texts: pa.Array, capacity: int) -> Iterator[tuple[int, int, int, str]
                 yield lo + r, a, b - a, cp[start:end].tobytes().decode("utf-32-le")
 
 
+def segments(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[tuple[int, list[tuple[int | None, int, int, str]]]]:
+    """Each piece of each text (doc_id, text) by itself: its tokens and its segment."""
+    for b in batches:
+        ids, texts = b.column(0), b.column(1)
+        for r, a, n, text in pieces(texts, capacity):
+            yield n, [(ids[r].as_py(), a, n, text)]
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int | None, int, int, str]]]]:
+    """The tokens and the segments of each window."""
+    for b in batches:
+        for lo in range(0, b.num_rows, OPEN_WINDOWS):
+            for w in b.slice(lo, OPEN_WINDOWS).to_pylist():
+                yield w["n_tokens"], list(zip(*(w[k] for k in _NAMES[2:])))
+
+
+def windows(p: Packer, parts: Iterator[tuple[int, list[tuple[int | None, int, int, str]]]], gone: str, rest: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Windows of the parts as they go, a few in a batch, however many rows the parts come from; at last those still open.
+
+    Names are a prefix and a number: gone and, from 0 again, rest; without rest the numbers of gone go on.
+    """
+    done: list[tuple[str, Window]] = []
+    count = 0
+    for n, segs in parts:
+        if (w := p.add(n, segs)) is not None:
+            done.append((f"{gone}{count}", w))
+            count += 1
+            if len(done) == OPEN_WINDOWS:
+                yield _batch(done)
+                done = []
+    if done:
+        yield _batch(done)
+    if p.open:
+        yield _batch([(f"{gone}{count + i}" if rest is None else f"{rest}{i}", w) for i, w in enumerate(p.rest())])
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, places: int = OPEN_WINDOWS, merge: int = MERGE) -> DataFrame:
     """Windows of at most capacity tokens (runs of non-space characters) that hold every token of docs once.
 
@@ -93,32 +129,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, places: int = OPEN_WINDOWS,
     """
     from pyspark import TaskContext
 
+    @lean
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me, count, p = TaskContext.get().partitionId(), 0, Packer(capacity, places)
-        for b in batches:
-            done = []
-            ids = b.column(0).to_pylist()
-            for r, a, n, text in pieces(b.column(1), capacity):
-                if (w := p.add(n, [(ids[r], a, n, text)])) is not None:
-                    done.append((f"{me}-{count}", w))
-                    count += 1
-            if done:
-                yield _batch(done)
-        if p.open:
-            yield _batch([(f"open-{me}-{i}", w) for i, w in enumerate(p.rest())])
+        me, p = TaskContext.get().partitionId(), Packer(capacity, places)
+        yield from windows(p, segments(batches, capacity), f"{me}-", f"open-{me}-")
 
+    @lean
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me, count, p = TaskContext.get().partitionId(), 0, Packer(capacity, places)
-        for b in batches:
-            done = []
-            for w in b.to_pylist():
-                if (full := p.add(w["n_tokens"], list(zip(*(w[k] for k in _NAMES[2:]))))) is not None:
-                    done.append((f"m{me}-{count}", full))
-                    count += 1
-            if done:
-                yield _batch(done)
-        if p.open:
-            yield _batch([(f"m{me}-{count + i}", w) for i, w in enumerate(p.rest())])
+        me, p = TaskContext.get().partitionId(), Packer(capacity, places)
+        yield from windows(p, opened(batches), f"m{me}-")
 
     d = narrow(docs, "doc_id", "text").where("text is not null")
     t = written(d.mapInArrow(first, SCHEMA), "windows")  # once, so that windows and leftovers fit together

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import cut, narrow, shield
-from ._text import Words, codepoints, mix, signed, slices, spans, tables
+from ._text import Words, codepoints, lean, mix, signed, slices, spans, tables
 from ._runs import distance
 from .simhash import fingerprints
 
@@ -59,6 +59,7 @@ def codes() -> np.ndarray:
 def count_trigrams(docs: DataFrame) -> DataFrame:
     """Counts (gram, n) of all letter trigrams in all texts; any run of other characters is one border."""
 
+    @lean
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CODES**3, dtype=np.int64)
         for b in batches:
@@ -200,6 +201,7 @@ def common_words(docs: DataFrame) -> np.ndarray:
     Often means at least COMMON_COUNT times and a COMMON_SHARE of all words, so there are at most 1 / COMMON_SHARE.
     """
 
+    @lean
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0)
@@ -403,6 +405,7 @@ def _lower_bound(pos: np.ndarray, n: np.ndarray, z: float = 1.64) -> np.ndarray:
 def _distinct_enough(d: DataFrame) -> list[int]:
     """Ids of toxic training texts of which none is a near copy of another; d is bounded by max_labelled."""
 
+    @lean
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in slices(b.column(1)):
@@ -440,6 +443,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, min_supp
     if not len(kept):
         return model
 
+    @lean
     def positive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for b in batches:
@@ -455,6 +459,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, min_supp
     if not len(f):
         return model
 
+    @lean
     def negative(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         n = np.zeros(len(f), np.int64)
@@ -479,6 +484,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, min_supp
     if not len(f):
         return model
 
+    @lean
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for b in batches:
@@ -539,6 +545,7 @@ def _judge(texts: pa.Array, model: Model, known: dict) -> tuple[np.ndarray, list
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (that at least one lexicon hit is right), toxic, restored (readings of disguised toxic words)."""
 
+    @lean
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for b in batches:
@@ -565,6 +572,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     s, old, at = shield(docs, "text")
     place = s.columns.index(at["text"])
 
+    @lean
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for b in batches:
