@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import BLUR_LIMIT, SMALL_SIDE
@@ -49,31 +49,35 @@ def measure(images: DataFrame) -> DataFrame:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.to_pylist()
-            out = [variance_of_laplacian(gray(r["data"], r["height"], r["width"], r["nChannels"])) if r["height"] > 0 else None for r in rows]
+            rows, data = b.drop_columns(["data"]).to_pylist(), b.column("data")  # pixels are measured where they lie, not copied
             good = [r["height"] > 0 for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r["origin"] for r in rows]), pa.array([r["height"] if g else None for r, g in zip(rows, good)], pa.int32()), pa.array([r["width"] if g else None for r, g in zip(rows, good)], pa.int32()), pa.array(out, pa.float64())], names=["origin", "height", "width", "sharpness"])
+            out = [variance_of_laplacian(gray(data[i].as_buffer(), r["height"], r["width"], r["nChannels"])) if g else None for i, (r, g) in enumerate(zip(rows, good))]
+            yield pa.RecordBatch.from_arrays([pa.array([r["origin"] for r in rows], pa.string()), pa.array([r["height"] if g else None for r, g in zip(rows, good)], pa.int32()), pa.array([r["width"] if g else None for r, g in zip(rows, good)], pa.int32()), pa.array(out, pa.float64())], names=["origin", "height", "width", "sharpness"])
 
     return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(part, "origin string, height int, width int, sharpness double")
 
 
-def issues(measured: DataFrame) -> DataFrame:
-    """(type, row_id, height, width, sharpness, error) from (row_id, height, width, sharpness).
-
-    small_image if a side has under 100 pixels, blurry_image if the sharpness is under 50, both possible;
-    corrupted_image if there is no sharpness.
-    """
+def _kinds() -> Column:
+    """Issues of an image from height, width and sharpness; NULL for each that it hasn't."""
     small = (F.col("height") < SMALL_SIDE) | (F.col("width") < SMALL_SIDE)
     blank = F.lit(None)
-    kinds = F.array(
+    return F.array(
         F.when(small, F.struct(F.lit("small_image").alias("type"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), blank.cast("double").alias("sharpness"), blank.cast("string").alias("error"))),
         F.when(F.col("sharpness") < BLUR_LIMIT, F.struct(F.lit("blurry_image").alias("type"), blank.cast("int").alias("height"), blank.cast("int").alias("width"), F.col("sharpness").alias("sharpness"), blank.cast("string").alias("error"))),
         F.when(F.col("sharpness").isNull(), F.struct(F.lit("corrupted_image").alias("type"), blank.cast("int").alias("height"), blank.cast("int").alias("width"), blank.cast("double").alias("sharpness"), F.lit(CORRUPT).alias("error"))),
     )
-    return measured.select("row_id", F.explode(kinds).alias("k")).where("k is not null").select("k.type", "row_id", "k.height", "k.width", "k.sharpness", "k.error")
+
+
+def issues(measured: DataFrame) -> DataFrame:
+    """(type, row_id, height, width, sharpness, error) from (row_id, height, width, sharpness).
+
+    small_image if a side has under 100 pixels, blurry_image if the sharpness is under 50, both possible;
+    corrupted_image if there is no sharpness.
+    """
+    return measured.select("row_id", F.explode(_kinds()).alias("k")).where("k is not null").select("k.type", "row_id", "k.height", "k.width", "k.sharpness", "k.error")
 
 
 def metrics(measured: DataFrame) -> DataFrame:
-    """(total_images, issue_rate): issues in percent of images, over 100 if images have several."""
-    n = measured.agg(F.count(F.lit(1)).alias("total_images"))
-    return issues(measured).agg(F.count(F.lit(1)).alias("i")).crossJoin(n).select("total_images", percent(F.col("i"), F.col("total_images")).alias("issue_rate"))
+    """(total_images, issue_rate): issues in percent of images, over 100 if images have several. Each is measured once."""
+    n = measured.agg(F.count(F.lit(1)).alias("total_images"), F.coalesce(F.sum(F.size(F.array_compact(_kinds()))), F.lit(0)).alias("i"))
+    return n.select("total_images", percent(F.col("i"), F.col("total_images")).alias("issue_rate"))

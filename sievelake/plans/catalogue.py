@@ -393,13 +393,34 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "embeddings").select(i.alias("row_id"), (i % 80 + 60).cast("int").alias("height"), (i % 50 + 80).cast("int").alias("width"), F.when(i % 25 != 0, px).alias("px"))
 
 
+#: Files that the image source lists at once; their names are in the driver's memory.
+ROUND_FILES = 50_000
+
+
+def _rounds(folders: list[tuple[str, int]]) -> list[list[str]]:
+    """Folders in groups of at most ROUND_FILES files, or of one folder."""
+    out, n = [], 0
+    for name, files in folders:
+        if not out or n + files > ROUND_FILES:
+            out.append([])
+            n = 0
+        out[-1].append(name)
+        n += files
+    return out
+
+
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size and sharpness of the pictures, written as PNG files and read by the image source."""
-    folder = shared.new_folder(spark, "pictures")
+    """Size and sharpness of the pictures, written as PNG files and read by the image source, in rounds, into a table."""
+    folder, into = shared.new_folder(spark, "pictures"), shared.new_folder(spark, "measured")
     shared.forget(spark, folder)
-    samples.write_images(pictures(spark, sf_dir), folder)
-    m = image.measure(readers.read_images(spark, folder))
-    return m.select(F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("long").alias("row_id"), "height", "width", F.round("sharpness", 6).alias("sharpness"))
+    shared.forget(spark, into)
+    kinds = "row_id long, height int, width int, sharpness double"
+    rounds = _rounds(samples.write_images(pictures(spark, sf_dir), folder))
+    for some in rounds:
+        m = image.measure(readers.read_images(spark, some))
+        m = m.select(F.regexp_extract("origin", r"(-?\d+)\.png$", 1).try_cast("long").alias("row_id"), "height", "width", F.round("sharpness", 6).alias("sharpness"))
+        m.write.mode("append").parquet(into)
+    return spark.read.schema(kinds).parquet(into) if rounds else spark.createDataFrame([], kinds)
 
 
 _LAPLACIAN = """g AS (SELECT vec_id AS row_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 100) AS BIGINT)) AS px FROM embeddings),

@@ -54,9 +54,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return d.select("file", F.posexplode(split_lines(F.validate_utf8("value"))).alias("row_id", "text")).withColumn("row_id", F.col("row_id").cast("long"))
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of Spark's image source; corrupt files stay, with a height of -1."""
-    return spark.read.format("image").option("dropInvalid", False).load(path)
+#: Tasks for each core, and bytes of files for each task if these give more tasks, in reading images.
+IMAGE_TASKS, IMAGE_BYTES = 3, 64 << 20
+
+
+def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Rows of Spark's image source; corrupt files stay, with a height of -1.
+
+    Spark counts 4 MB for opening a file, so it would make a task of every few small images; these are read together.
+    """
+    d = spark.read.format("image").option("dropInvalid", False).load(path)
+    size = int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return d.coalesce(max(IMAGE_TASKS * spark.sparkContext.defaultParallelism, -(-size // IMAGE_BYTES)))
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:

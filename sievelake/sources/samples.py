@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -85,25 +86,44 @@ def png(x: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 1)) + chunk(b"IEND", b"")
 
 
-def write_images(rows: DataFrame, folder: str) -> int:
-    """Write a gray PNG file <row_id>.png for each of rows (row_id, height, width, px); its number is returned.
+#: Most files in a folder.
+FOLDER_FILES = 1000
 
-    Pixel (r, c) is number 7 r + 3 c, around and around, of px. A row without px becomes a file that is no image. folder
-    is a URI that all executors share; a file has its name only when it is whole.
+
+def write_images(rows: DataFrame, folder: str) -> list[tuple[str, int]]:
+    """Write a gray PNG file <n>_<row_id>.png for each of rows (row_id, height, width, px); the folders, with their files' number.
+
+    n counts the files of a folder, so rows that repeat an id have a file each. Pixel (r, c) is number 7 r + 3 c, around and
+    around, of px. A row without px becomes a file that is no image. folder is a URI that all executors share; each attempt
+    of a task writes to folders of its own in it, and only those that are whole are returned.
     """
 
+    def batch(folders: list[tuple[str, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in folders], pa.string()), pa.array([x[1] for x in folders], pa.int64())], names=["name", "n"])
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, base = fs.FileSystem.from_uri(folder)
-        at.create_dir(base, recursive=True)
+        name, n = None, 0
         for b in batches:
+            full = []
             for r in b.to_pylist():
+                if name is None:
+                    name = uuid.uuid4().hex
+                    at.create_dir(f"{base}/{name}", recursive=True)
                 data = b"no image"
                 if r["px"]:
                     place = 7 * np.arange(r["height"])[:, None] + 3 * np.arange(r["width"])
                     data = png(np.array(r["px"], np.uint8)[place % len(r["px"])][:, :, None])
-                with at.open_output_stream(f"{base}/_{r['row_id']}.tmp") as f:
+                with at.open_output_stream(f"{base}/{name}/{n}_{r['row_id']}.png") as f:
                     f.write(data)
-                at.move(f"{base}/_{r['row_id']}.tmp", f"{base}/{r['row_id']}.png")
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
-
-    return rows.select("row_id", "height", "width", "px").mapInArrow(part, "n long").agg({"n": "sum"}).first()[0] or 0
+                n += 1
+                if n == most:
+                    full.append((name, n))
+                    name, n = None, 0
+            yield batch(full)
+        if n:
+            yield batch([(name, n)])
+
+    most = FOLDER_FILES
+    found = rows.select("row_id", "height", "width", "px").mapInArrow(part, "name string, n long").collect()
+    return [(f"{folder}/{r['name']}", r["n"]) for r in found]

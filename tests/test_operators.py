@@ -78,6 +78,22 @@ def test_images(spark, tmp_path):
     assert math.isclose(s[0], lap.var()) and s[1] == 0.0 and s[2] is None
 
 
+def test_many_small_images(spark, tmp_path):
+    """Metrics measure an image once; small files share tasks."""
+    for i in range(160):
+        (tmp_path / f"{i}.png").write_bytes(png(np.full((3, 5, 1), i, np.uint8)) if i % 4 else b"no image")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+        d = readers.read_images(spark, str(tmp_path))
+        assert d.rdd.getNumPartitions() <= readers.IMAGE_TASKS * spark.sparkContext.defaultParallelism
+        m = image.metrics(image.measure(d).withColumn("row_id", F.xxhash64("origin")))
+        assert tuple(m.first()) == (160, 175.0)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert m._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def probabilities(spark):
     rows = [(0, 0, [0.9, 0.1]), (1, 0, [0.5, 0.5]), (2, 0, [0.2, 0.8]), (3, 0, [0.8, 0.2]), (4, 1, [0.1, 0.9]), (5, 1, [0.3, 0.7]), (6, 1, [0.95, 0.05]), (7, 1, [0.4, 0.6])]
     return rows, spark.createDataFrame(rows, "row_id long, y int, p array<double>")

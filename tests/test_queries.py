@@ -8,9 +8,11 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 from sievelake.plans import catalogue
+from sievelake.sources import readers, samples
 
 
 def normal(v):
@@ -51,3 +53,29 @@ def test_entry_without_the_training_operators(monkeypatch):
     assert set(entry.queries()) == set(catalogue.QUERIES) and set(entry.oracle_sql()) == set(catalogue.SQL)
     monkeypatch.undo()
     importlib.reload(entry)
+
+
+@pytest.mark.parametrize("name", ["image_small", "image_blurry", "image_issues", "image_metrics"])
+def test_images_in_rounds(spark, tiny, name, tmp_path, monkeypatch):
+    """Rows that repeat an id count each, and no read lists more files than a round has."""
+    vectors = spark.read.parquet(f"{tiny}/embeddings.parquet").where("vec_id < 60")
+    vectors.unionByName(vectors.where("vec_id < 7")).repartition(3).write.parquet(f"{tmp_path}/spark")
+    pq.write_table(pq.read_table(f"{tmp_path}/spark"), f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(samples, "FOLDER_FILES", 4)
+    monkeypatch.setattr(catalogue, "ROUND_FILES", 30)
+    listed, read = [], readers.read_images
+
+    def watched(spark, path):
+        d = read(spark, path)
+        listed.append(len(d.inputFiles()))
+        return d
+
+    monkeypatch.setattr(readers, "read_images", watched)
+    compare(spark, str(tmp_path), catalogue.QUERIES[name], catalogue.SQL[name])
+    assert sum(listed) == 67 and max(listed) <= 30
+
+
+def test_no_images(spark, tiny, tmp_path):
+    spark.read.parquet(f"{tiny}/embeddings.parquet").limit(0).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert catalogue.image_issues(spark, str(tmp_path)).count() == 0
+    assert tuple(catalogue.image_metrics(spark, str(tmp_path)).first()) == (0, 0.0)
